@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES: dict[str, str] = {
     "op1_warc_revisits": "warc",
     "op9_gif_media": "gif",
+    "op10_byte_cnn_language": "byte_cnn",
 }
 
 
