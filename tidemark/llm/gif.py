@@ -227,13 +227,13 @@ def drawn_histogram(frames: list[Frame]) -> np.ndarray:
             counts[f.transparent] = 0
         colours = f.palette[np.minimum(np.arange(256), len(f.palette) - 1)]
         for channel in range(3):
-            total[channel] += np.bincount(colours[:, channel] * BINS // 256, counts, BINS).astype(np.int64)
+            total[channel] += np.bincount(colours[:, channel] // (256 // BINS), counts, BINS).astype(np.int64)
     return total
 
 
 def canvas_histogram(canvas: np.ndarray) -> np.ndarray:
     seen = canvas[canvas[..., 3] > 0]
-    return np.stack([np.bincount(seen[:, c].astype(np.int64) * BINS // 256, minlength=BINS) for c in range(3)])
+    return np.stack([np.bincount(seen[:, c] // (256 // BINS), minlength=BINS) for c in range(3)])
 
 
 def pad(data: bytes) -> bytes:
