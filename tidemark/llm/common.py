@@ -17,7 +17,7 @@ SPACES = " \t\n\x0b\x0c\r"
 OWN = "__tm_"
 #: Bytes of an Arrow batch sent to a Python worker: bounds what a worker holds, however long the texts are.
 BATCH_BYTES = 8 << 20
-BATCH_ROWS = 2000
+BATCH_ROWS = 50_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES: dict[str, str] = {
     "op1_warc_revisits": "warc",
     "op5_license_containment": "licenses",
+    "op6_simhash_components": "simhash",
     "op7_best_fit_packing": "packing",
     "op9_gif_media": "gif",
     "op10_byte_cnn_language": "byte_cnn",
