@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Word of the contracts: a run of anything but ASCII white space.
-SPACE = r"[\x20\x09-\x0D]+"
+#: ASCII white space: a word of the contracts is a run of anything else.
 SPACES = " \t\n\x0b\x0c\r"
 #: Prefix of helper columns, so that they can't clash with those of a caller.
 OWN = "__tm_"
@@ -64,13 +63,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words_of(text: Column) -> Column:
     """The words of a text as an array; null gives none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE, -1), lambda w: w != "")
-
-
-def n_words_of(text: Column) -> Column:
-    """Number of words without building them: ends of words, counted on the text with one blank appended."""
-    kept = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\x20\x09-\x0D]++", "x")
-    return F.length(F.regexp_replace(kept, SPACE, "")).cast("long")
+    trimmed = F.btrim(F.coalesce(text.cast("string"), F.lit("")), F.lit(SPACES))
+    return F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]++", -1))
 
 
 def any_of(conditions: list[Column]) -> Column:

@@ -14,6 +14,7 @@ MODULES: dict[str, str] = {
     "op5_license_containment": "licenses",
     "op6_simhash_components": "simhash",
     "op7_best_fit_packing": "packing",
+    "op8_source_mixing": "mixing",
     "op9_gif_media": "gif",
     "op10_byte_cnn_language": "byte_cnn",
 }

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, SPACES, let
+from .common import OWN, let, words_of
 
 WINDOW = 8
 #: Shares and means derived from the counts, each a double that is 0 for an empty text.
@@ -31,10 +31,9 @@ def _repeat_words(hashes: Column) -> Column:
 def with_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with a struct column ``__tm_counts``; other columns, whatever their names, stay as they are."""
     w, h, t, lines = (f"{OWN}{x}" for x in ("words", "hashes", "t", "lines"))
-    trimmed = F.btrim(F.col(t), F.lit(SPACES))
     step = lambda a, n: F.zip_with(a, F.slice(a, F.lit(n + 1), F.size(a)), lambda x, y: F.xxhash64(x, y))
     df = df.withColumn(t, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    df = df.withColumn(w, F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]++", -1)))
+    df = df.withColumn(w, words_of(F.col(t)))
     df = df.withColumn(lines, F.filter(F.split(F.col(t), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     hashes = step(step(step(F.transform(w, lambda x: F.xxhash64(x)), 1), 2), 4)
     df = df.withColumn(h, F.when(F.size(w) >= WINDOW, F.slice(hashes, F.lit(1), F.size(w) - (WINDOW - 1))).otherwise(F.array().cast("array<bigint>")))
