@@ -31,7 +31,7 @@ def _repeat_words(hashes: Column) -> Column:
 def with_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with a struct column ``__tm_counts``; other columns, whatever their names, stay as they are."""
     w, h, t, lines = (f"{OWN}{x}" for x in ("words", "hashes", "t", "lines"))
-    step = lambda a, n: F.zip_with(a, F.slice(a, F.lit(n + 1), F.size(a)), lambda x, y: F.xxhash64(x, y))
+    step = lambda a, n: let(a, lambda b: F.zip_with(b, F.slice(b, F.lit(n + 1), F.size(b)), lambda x, y: F.xxhash64(x, y)))
     df = df.withColumn(t, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     df = df.withColumn(w, words_of(F.col(t)))
     df = df.withColumn(lines, F.filter(F.split(F.col(t), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
