@@ -11,6 +11,7 @@ MODULES: dict[str, str] = {
     "op1_warc_revisits": "warc",
     "op2_quality_rules": "quality_rules",
     "op3_pairwise_quality": "pairwise_quality",
+    "op4_contextual_pii": "pii",
     "op5_license_containment": "licenses",
     "op6_simhash_components": "simhash",
     "op7_best_fit_packing": "packing",
