@@ -1,0 +1,75 @@
+import random
+import sys
+from pathlib import Path
+
+import pytest
+from tokenizers import Tokenizer
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+import corpus_pipeline
+
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+from test_mixing import brute_taken, waterfill
+from test_pii import brute as brute_spans
+from test_quality_rules import brute as brute_counts
+from test_simhash import brute_components, brute_fingerprint
+
+from tidemark.llm import packing
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    r = random.Random(8)
+    texts = []
+    for i in range(240):
+        words = [f"{r.choice('abcdefghijk')}{r.choice(['ne', 'lo', 'ri', 'ta'])}{r.randint(0, 400)}" for _ in range(r.randint(25, 300))]
+        if i % 6 == 0:
+            words = [w + "###" for w in words]
+        if i % 5 == 0:
+            words[10] = f"user{i}@mail.example.org"
+        texts.append(" ".join(words))
+    texts += texts[1:20:2] + [texts[7] + " tail", None, "", "too short"]
+    docs = [(i, t, "en", f"s{i % 4}", len(t or ""), "extra") for i, t in enumerate(texts)]
+    labels = [(i, 0 if i % 6 == 0 else 1, 0) for i in range(0, 240) if i % 4 != 3]
+    path = tmp_path_factory.mktemp("tables")
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, size string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path), docs
+
+
+def test_stages_against_brute_force(spark, tables):
+    path, rows = tables
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    names = docs.columns
+    kept = {n: None for n, _ in corpus_pipeline.STAGES}
+    for name, stage in corpus_pipeline.STAGES:
+        out = packing.materialize(stage(spark, docs, path), f"test-{name}")
+        if name != "packing":
+            assert out.columns == names, name
+        kept[name], docs = out.collect(), out
+    good = {i: t for i, t, *_ in rows if i % 6 and i < 240 or i >= 240 and brute_counts(t)[0] >= 20}
+    assert {x.doc_id for x in kept["quality_rules"]} == set(good) and len(kept["quality_rules"]) == len(good)
+    one = brute_components(sorted((i, brute_fingerprint(t)) for i, t in good.items()))
+    assert sorted(x.doc_id for x in kept["near_duplicates"]) == sorted(set(one.values()))
+    assert len(kept["personal_data"]) == len(kept["near_duplicates"])
+    for x in kept["personal_data"]:
+        assert not brute_spans(x.text) and ("[EMAIL]" in x.text) == bool(brute_spans(good[x.doc_id])) and x.n_chars == len(x.text)
+    sizes = [(x.doc_id, x.source, len(x.text.split())) for x in kept["personal_data"]]
+    sources = sorted({s for _, s, _ in sizes})
+    goals = dict(zip(sources, waterfill([sum(n for _, s, n in sizes if s == q) for q in sources], [(3, 1, 2)[i % 3] for i in range(len(sources))]), strict=True))
+    assert {x.doc_id for x in kept["source_mix"]} == {i for i, t in brute_taken(sizes, goals).items() if t}
+    exact = Tokenizer.from_file(packing.TOKENIZER)
+    tokens = sum(len(exact.encode(x.text, add_special_tokens=False).ids) + 1 for x in kept["source_mix"])
+    assert sum(x.length for x in kept["packing"]) == tokens
+    fill = {}
+    for x in kept["packing"]:
+        fill[x.sequence_id] = fill.get(x.sequence_id, 0) + x.length
+    assert max(fill.values()) <= 2048 and len(fill) <= -(-tokens // 2048) + 1
+
+
+def test_run_and_empty(spark, tables, tmp_path):
+    path, _ = tables
+    assert corpus_pipeline.run(spark, path).count() > 0
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"{path}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
