@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.time import epoch_millis
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
@@ -26,10 +29,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    import_module("tidemark.queries")
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    import_module("tidemark.queries")
     return dict(_SQL)
 
 
@@ -39,10 +44,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query(
     "window_tumbling_sum",
-    """SELECT user_id, epoch_ms(ts) // 3600000 * 3600000 AS window_start_ms, round(sum(value), 4) AS total, count(*) AS n
+    """SELECT user_id, epoch_us(ts) // 3600000000 * 3600000 AS window_start_ms, round(sum(value), 4) AS total, count(*) AS n
        FROM events GROUP BY ALL""",
 )
 def window_tumbling_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    ms = epoch_millis(F.col("ts"))
     return e.groupBy("user_id", (ms - F.pmod(ms, F.lit(3600000))).alias("window_start_ms")).agg(F.round(F.sum("value"), 4).alias("total"), F.count("*").alias("n"))
