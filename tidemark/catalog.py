@@ -29,12 +29,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    import_module("tidemark.queries")
+    for module in ("queries", "stream_queries"):
+        import_module(f"tidemark.{module}")
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    import_module("tidemark.queries")
+    for module in ("queries", "stream_queries"):
+        import_module(f"tidemark.{module}")
     return dict(_SQL)
 
 

@@ -24,15 +24,14 @@ class Pipeline:
 
     def map(self, **columns: Column) -> Pipeline:
         """Set columns; a row for which one comes out null is dropped."""
-        keep = lambda df: df.where(F.greatest(*[F.col(c).isNull().cast("int") for c in columns], F.lit(0)) == 0)
-        return self._with(lambda df: keep(df.withColumns(columns)))
+        return self._with(lambda df: df.withColumns(columns).dropna(subset=list(columns)))
 
     def select(self, *columns: Column | str) -> Pipeline:
         return self._with(lambda df: df.select(*columns))
 
     def filter(self, predicate: Column) -> Pipeline:
-        """Keep rows for which the predicate is true; null and zero drop the row."""
-        return self._with(lambda df: df.where(F.coalesce(predicate.cast("boolean"), F.lit(False))))
+        """Keep rows for which the predicate is true; null and zero drop the row. A boolean predicate reaches the scan."""
+        return self._with(lambda df: df.where(predicate.cast("boolean")))
 
     def apply(self, fn: Step) -> Pipeline:
         return self._with(fn)

@@ -27,8 +27,9 @@ def keyed_fold(stream: DataFrame, key: str, order: str, state_schema: str, initi
         state.update(now)
         if ttl_ms is not None:
             state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame([(*name, *now)])
+        yield pd.DataFrame([(*name, *now)], columns=names)
 
+    names = [key, *[x.split()[0] for x in state_schema.split(",")]]
     kind = stream.schema[key].dataType.simpleString()
     timeout = GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {state_schema}", state_schema, "update", timeout)
