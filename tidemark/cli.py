@@ -46,15 +46,30 @@ def groups(spark: SparkSession, path: str) -> list[str]:
     return show(spark.read.parquet(path).groupBy("group").agg(F.sum("committed").alias("committed")).orderBy("group"))
 
 
+def reset(spark: SparkSession, path: str, group: str, to: str) -> None:
+    """Move a group's offsets in a table of (group, topic, partition, committed)."""
+    moved = delivery.reset_offsets(spark.read.parquet(path), group, to)
+    kept = f"{path.rstrip('/')}.moved"
+    moved.write.mode("overwrite").parquet(kept)
+    spark.read.parquet(kept).write.mode("overwrite").parquet(path)
+
+
+def status(spark: SparkSession) -> list[str]:
+    """Streaming queries of this session, with their last progress."""
+    return [json.dumps({"id": str(q.id), "name": q.name, "active": q.isActive, "rows": (q.lastProgress or {}).get("numInputRows", 0)}) for q in spark.streams.active]
+
+
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="tidemark")
     sub = parser.add_subparsers(dest="command", required=True)
-    for name in ("inspect", "dlq-inspect", "dlq-replay", "dlq-purge", "groups"):
+    for name in ("inspect", "dlq-inspect", "dlq-replay", "dlq-purge", "groups", "reset"):
         p = sub.add_parser(name)
         p.add_argument("path")
         p.add_argument("--limit", type=int, default=100 if name == "dlq-replay" else 10)
         p.add_argument("--seq", default="offset")
         p.add_argument("--target")
+        p.add_argument("--group")
+        p.add_argument("--to", default="0")
         p.add_argument("--partition", type=int, default=0)
         p.add_argument("--tail", action="store_true")
     a = parser.parse_args(args)
@@ -65,6 +80,7 @@ def main(args: list[str] | None = None) -> None:
         "dlq-replay": lambda: [str(dlq_replay(spark, a.path, a.target, a.limit, a.seq))],
         "dlq-purge": lambda: dlq_purge(spark, a.path) or [],
         "groups": lambda: groups(spark, a.path),
+        "reset": lambda: reset(spark, a.path, a.group, a.to) or [],
     }[a.command]()
     print("\n".join(out))
 

@@ -25,6 +25,14 @@ def leaders(leases: DataFrame, nodes: DataFrame) -> DataFrame:
     return leases.join(nodes, "node_id").select("partition", "node_id", "host", "port")
 
 
+def accepted_appends(records: DataFrame, leases: DataFrame, node_id: object) -> tuple[DataFrame, DataFrame]:
+    """(records that a node may append, the others with ``_error``): only the leader of a partition appends to it."""
+    held = leases.where(F.col("node_id") == node_id).select("partition", F.lit(True).alias("__held"))
+    marked = records.join(held, "partition", "left")
+    error = F.concat(F.lit("Not leader for partition "), F.col("partition")).alias("_error")
+    return marked.where(F.col("__held").isNotNull()).drop("__held"), marked.where(F.col("__held").isNull()).select(*records.columns, error)
+
+
 def peers(nodes: DataFrame, node_id: object) -> DataFrame:
     return nodes.where(F.col("node_id") != node_id)
 

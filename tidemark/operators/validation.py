@@ -34,6 +34,11 @@ def envelope(df: DataFrame, event_id: Column, timestamp: Column, payload: Column
     )
 
 
+def with_offset(events: DataFrame, msg_id: Column) -> DataFrame:
+    """Events with their message's id as ``offset``."""
+    return events.withColumn("offset", msg_id.cast("string"))
+
+
 @dataclass
 class Schema:
     """A declared payload: its type, and rules that its fields must meet (columns over ``body``)."""

@@ -607,3 +607,37 @@ def alert_error_ratio(spark, d):
 @query("alert_lag", f"SELECT partition, greatest(0, \"end\" - coalesce(committed, 0)) > 1000 AS firing FROM ({_LAG})")
 def alert_lag(spark, d):
     return metrics.lag_alert(lags(spark, d)).select("partition", "firing")
+
+
+@query(
+    "metrics_p95",
+    f"""WITH o AS ({_OUT}), b AS (SELECT stream, le, count(*) FILTER (seconds <= le) AS n FROM o, (VALUES (0.01), (0.05), (0.1), (0.5), (1.0), (5.0)) v(le) WHERE status = 'success' GROUP BY 1, 2
+UNION ALL SELECT stream, 1e9, count(*) FROM o WHERE status = 'success' GROUP BY 1),
+r AS (SELECT stream, max(n) * 0.95::DOUBLE AS rank FROM b GROUP BY 1),
+x AS (SELECT b.*, rank, coalesce(lag(le) OVER w, 0) AS low, coalesce(lag(n) OVER w, 0) AS below FROM b JOIN r USING (stream) WINDOW w AS (PARTITION BY stream ORDER BY le)),
+f AS (SELECT * FROM x WHERE n >= rank QUALIFY row_number() OVER (PARTITION BY stream ORDER BY le) = 1)
+SELECT stream, round(CASE WHEN le > 1e8 THEN low ELSE low::DOUBLE + (le::DOUBLE - low::DOUBLE) * (rank - below) / (n - below) END::DOUBLE, 6) AS value FROM f""",
+)
+def metrics_p95(spark, d):
+    return metrics.quantile(metrics.histogram(outcomes(spark, d), "seconds"), ["stream"], 0.95).select("stream", F.round("value", 6).alias("value"))
+
+
+@query("offset_injection", "SELECT event_id, (user_id % 4) || '-' || event_id AS \"offset\" FROM events")
+def offset_injection(spark, d):
+    e = table(spark, d, "events")
+    return V.with_offset(e, F.concat_ws("-", F.col("user_id") % 4, F.col("event_id"))).select("event_id", "offset")
+
+
+_RECORDS = "SELECT event_id, user_id % 16 AS partition FROM events WHERE event_id >= 6000"
+
+
+@query("replicated_append", f"SELECT event_id, partition FROM ({_RECORDS}) WHERE partition IN (SELECT partition FROM ({_LEASES}) WHERE node_id = 2)")
+def replicated_append(spark, d):
+    records = table(spark, d, "events").where("event_id >= 6000").select("event_id", (F.col("user_id") % 16).alias("partition"))
+    return cluster.accepted_appends(records, cluster.live_leases(claims(spark, d), 6000), 2)[0].select("event_id", "partition")
+
+
+@query("replicated_append_refused", f"SELECT event_id, 'Not leader for partition ' || partition AS _error FROM ({_RECORDS}) WHERE partition NOT IN (SELECT partition FROM ({_LEASES}) WHERE node_id = 2)")
+def replicated_append_refused(spark, d):
+    records = table(spark, d, "events").where("event_id >= 6000").select("event_id", (F.col("user_id") % 16).alias("partition"))
+    return cluster.accepted_appends(records, cluster.live_leases(claims(spark, d), 6000), 2)[1].select("event_id", "_error")

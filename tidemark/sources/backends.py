@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources.redis_stream import RedisSource
+from tidemark.workers import importable
+
 log = logging.getLogger(__name__)
 
 ENTRY_POINTS = "tidemark.plugins"
@@ -137,7 +140,28 @@ class KafkaBackend(Backend):
         rows.select(key.alias("key"), F.to_json(F.struct(*rows.columns)).alias("value")).write.format("kafka").options(**{"kafka.bootstrap.servers": self.options["servers"], "topic": self.topic}).save()
 
 
-_BACKENDS: dict[str, type[Backend]] = {"file": FileBackend, "log": LogBackend, "memory": MemoryBackend, "kafka": KafkaBackend}
+class RedisBackend(Backend):
+    """A Redis or Valkey stream; options as in ``sources.redis_stream``. Fields come as a map of strings."""
+
+    def _source(self) -> dict[str, str]:
+        self.spark.dataSource.register(RedisSource)
+        importable(self.spark)
+        return {**self.options, "stream": self.topic}
+
+    def read(self) -> DataFrame:
+        return self.spark.read.format(RedisSource.name()).options(**self._source()).load()
+
+    def read_stream(self) -> DataFrame:
+        return self.spark.readStream.format(RedisSource.name()).options(**self._source()).load()
+
+    def append(self, rows: DataFrame) -> None:
+        nested = [f.name for f in rows.schema.fields if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))]
+        text = {c: F.to_json(c) if c in nested else F.col(f"`{c}`").cast("string") for c in rows.columns}
+        fields = F.create_map(*[x for c, v in text.items() for x in (F.lit(c), v)])
+        rows.select(F.lit(None).cast("string").alias("msg_id"), fields.alias("fields")).write.format(RedisSource.name()).options(**self._source()).mode("append").save()
+
+
+_BACKENDS: dict[str, type[Backend]] = {"file": FileBackend, "log": LogBackend, "memory": MemoryBackend, "kafka": KafkaBackend, "redis": RedisBackend}
 _loaded = False
 
 

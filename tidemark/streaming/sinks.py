@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.sinks import first_writes, new_tokens, with_token
+from tidemark.workers import importable
 
 Transport = Callable[[str, bytes, dict[str, str], float], int]
 
@@ -44,6 +45,7 @@ class HttpSink:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         rows = with_token(batch, self.name, F.col(self.event_id)).select("token", F.to_json(F.struct(*batch.columns)).alias("body"))
+        importable(batch.sparkSession)
         url, timeout, post = self.url, self.timeout, self.transport
 
         def send(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.workers import importable
+
 
 def keyed_fold(stream: DataFrame, key: str, order: str, state_schema: str, initial: tuple, fold: Callable[[tuple, Any], tuple], ttl_ms: int | None = None) -> DataFrame:
     """``state = fold(state, row)`` for each key's rows, in ``order`` within a micro-batch; gives (key, state) after each batch.
@@ -29,6 +31,7 @@ def keyed_fold(stream: DataFrame, key: str, order: str, state_schema: str, initi
             state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame([(*name, *now)], columns=names)
 
+    importable(stream.sparkSession)
     names = [key, *[x.split()[0] for x in state_schema.split(",")]]
     kind = stream.schema[key].dataType.simpleString()
     timeout = GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
