@@ -14,11 +14,10 @@ def live_leases(claims: DataFrame, now_ms: int) -> DataFrame:
 
 def fair_share(leases: DataFrame, nodes: DataFrame) -> DataFrame:
     """Partitions that each node holds, its fair share (all partitions over all nodes, rounded down, plus one) and how many it releases at this tick: one if it holds more."""
-    totals = leases.agg(F.countDistinct("partition").alias("__p")).crossJoin(nodes.agg(F.count("*").alias("__n")))  # one row by one row
+    partitions, n = leases.agg(F.countDistinct("partition")).scalar(), nodes.agg(F.count("*")).scalar()
     held = nodes.select("node_id").join(leases.groupBy("node_id").agg(F.count("*").alias("held")), "node_id", "left").withColumn("held", F.coalesce("held", F.lit(0)))
-    shared = held.crossJoin(F.broadcast(totals))  # a single row beside each node
-    share = F.floor(F.col("__p") / F.greatest(F.col("__n"), F.lit(1))) + 1
-    return shared.select("node_id", "held", share.cast("long").alias("fair_share"), ((F.col("held") > share) & (F.col("__n") > 1)).cast("int").alias("release"))
+    share = F.floor(partitions / F.greatest(n, F.lit(1))) + 1
+    return held.select("node_id", "held", share.cast("long").alias("fair_share"), ((F.col("held") > share) & (n > 1)).cast("int").alias("release"))
 
 
 def leaders(leases: DataFrame, nodes: DataFrame) -> DataFrame:
