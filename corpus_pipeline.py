@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import mixing, packing, pii, quality_rules, simhash
-from tidemark.llm.common import materialize, read
+from tidemark.llm.common import TABLES, drop_tables, materialize, read
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The packed pieces of ``documents``. A stage's own tables, and its input, go once its output is written."""
+    docs, done = read(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
+        mark = len(TABLES)
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        done, used = [TABLES[-1]], done + TABLES[mark:-1]
+        drop_tables(spark, used)
     return STAGES[-1][1](spark, docs, sf_dir)
