@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.workers import importable
+
 #: ASCII white space: a word of the contracts is a run of anything else.
 SPACES = " \t\n\x0b\x0c\r"
 #: Prefix of helper columns, so that they can't clash with those of a caller.
@@ -29,6 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or "/tmp/tidemark-checkpoints").rstrip("/")
 
 
+#: Tables written by ``materialize``, oldest first.
+TABLES: list[str] = []
+#: Rows of a table of numbers or short strings that a join may broadcast: some tens of MB in memory.
+BROADCAST_ROWS = 500_000
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
@@ -41,11 +49,28 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
+    TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that no frame in use reads."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        TABLES.remove(path)
+
+
+def sized(table: DataFrame, width: int = 1) -> DataFrame:
+    """A written table as the other side of a join: broadcast up to ``BROADCAST_ROWS / width`` rows (``width`` for rows that
+    take more), by count and not by compressed size; beyond that, both sides are shuffled and merged, and adaptive execution
+    splits skewed keys."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS // width else table.hint("merge")
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session by bytes, so that long texts don't fill a worker."""
+    """Bound the Arrow batches of this session by bytes, so that long texts don't fill a worker; and let workers import us."""
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

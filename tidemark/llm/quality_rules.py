@@ -160,10 +160,11 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that no rule rejects, with their columns; counts are made once and written beside them."""
+    """The documents that no rule rejects, with their columns. Counts are made twice, for learning and for the filter, rather
+    than writing the texts beside them or joining the verdicts back to the texts."""
     names = docs.columns
-    counted = materialize(with_counts(docs, text_col), "counted")
-    rules = learn(labelled(counted, labels, id_col))
+    counted = with_counts(docs, text_col)
+    rules = learn(labelled(materialize(counted.select(id_col, f"{OWN}counts"), "counts"), labels, id_col))
     return counted.where(verdict(rules, F.col(f"{OWN}counts")).isNull()).select(*[F.col(f"`{c}`") for c in names])
 
 
