@@ -27,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import OWN, let, materialize, read
+from .common import OWN, let, materialize, read, sized
 
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns. ``\\G`` (the end of the match before) or a look-behind holds a match to the start of a
@@ -147,21 +147,21 @@ def confident_patterns(found: DataFrame, rounds: int = ROUNDS, confidence: float
     seeds = edges.groupBy("instance").agg(F.max("seed").alias("seed"))
     instances = materialize(seeds.select("instance", "seed", F.col("seed").cast("double").alias("worth")), "pii-instances-0")
     for turn in range(1, rounds + 1):
-        scored = edges.select("pattern", "instance").join(instances, "instance")
+        scored = edges.select("pattern", "instance").join(sized(instances), "instance")
         patterns = scored.groupBy("pattern").agg(F.sum("worth").alias("sum"), F.count("*").alias("n"), F.sum(F.col("seed").cast("long")).alias("seeds"))
         patterns = materialize(patterns.where(F.col("seeds") >= support).select("pattern", (F.col("sum") / (F.col("n") + PRIOR)).alias("score")), f"pii-patterns-{turn}")
         if turn == rounds:
             break
-        good = edges.join(patterns.where("score >= 0.5"), "pattern").groupBy("instance").agg(F.sum(F.ln(F.lit(1.0) - F.least("score", F.lit(0.99)))).alias("miss"))
+        good = edges.join(sized(patterns.where("score >= 0.5")), "pattern").groupBy("instance").agg(F.sum(F.ln(F.lit(1.0) - F.least("score", F.lit(0.99)))).alias("miss"))
         worth = F.when(F.col("seed"), 1.0).otherwise(F.lit(1.0) - F.exp(F.coalesce("miss", F.lit(0.0))))
-        instances = materialize(instances.select("instance", "seed").join(good, "instance", "left").select("instance", "seed", worth.alias("worth")), f"pii-instances-{turn}")
+        instances = materialize(instances.select("instance", "seed").join(sized(materialize(good, f"pii-good-{turn}")), "instance", "left").select("instance", "seed", worth.alias("worth")), f"pii-instances-{turn}")
     return patterns.where(F.col("score") >= confidence)
 
 
 def discovered(found: DataFrame, patterns: DataFrame, key: str) -> DataFrame:
     """(key, spans): identifiers that confident patterns mark, in order."""
     tokens = found.where(F.size(f"{OWN}found.other") > 0).select(F.col(key), F.explode(f"{OWN}found.other").alias("x"))
-    marked = tokens.select(key, F.struct("x.start", "x.end").alias("span"), F.explode(contexts(F.col("x"))).alias("pattern")).join(patterns.select("pattern"), "pattern", "left_semi")
+    marked = tokens.select(key, F.struct("x.start", "x.end").alias("span"), F.explode(contexts(F.col("x"))).alias("pattern")).join(sized(patterns.select("pattern")), "pattern", "left_semi")
     return marked.groupBy(key).agg(F.sort_array(F.collect_set("span")).alias(f"{OWN}ids"))
 
 
@@ -176,7 +176,7 @@ def spans_of(docs: DataFrame, text_col: str = "text", keep_text: bool = True) ->
     span = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
     base = F.flatten(F.array(*[F.transform(col[k], span(k)) for k in KINDS]))
     extra = F.coalesce(F.transform(f"{OWN}ids", span("id")), F.array().cast("array<struct<kind:string,start:int,end:int>>"))
-    return found.join(ids, uid, "left").withColumn(f"{OWN}base", base).withColumn(f"{OWN}spans", F.concat(base, extra)).drop(uid, f"{OWN}found", f"{OWN}ids")
+    return found.join(sized(ids, 10), uid, "left").withColumn(f"{OWN}base", base).withColumn(f"{OWN}spans", F.concat(base, extra)).drop(uid, f"{OWN}found", f"{OWN}ids")
 
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
