@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize, new_path, read
+from .common import map_rows, materialize, new_path, read, sized
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -173,8 +173,8 @@ def resolve(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
         .where("n > 1")
         .select("payload_digest", "payload_bytes", F.col("first.page_id").alias("to_id"), F.col("first.url").alias("to_url"), F.col("first.file").alias("to_file"), F.col("first.offset").alias("to_offset"))
     )
-    # Written first, so that the join shuffles both sides afresh and adaptive execution can split a digest that very many share.
-    joined = headers.join(materialize(originals, "warc-originals"), ["payload_digest", "payload_bytes"], "left")
+    # Written first: a short table of originals is broadcast, a long one joins by a fresh shuffle of both sides, in which adaptive execution splits a digest that very many share.
+    joined = headers.join(sized(materialize(originals, "warc-originals"), 5), ["payload_digest", "payload_bytes"], "left")
     revisit = F.coalesce(~((F.col("file") == F.col("to_file")) & (F.col("offset") == F.col("to_offset"))), F.lit(False))
     return joined.select(
         *_HEADER_NAMES,
