@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import OWN, materialize, read, words_of
+from .common import OWN, materialize, read, sized, words_of
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -92,7 +92,7 @@ def plan(rows: DataFrame, **shares) -> DataFrame:
     before = F.sum("words").over(W.partitionBy("source").orderBy("range")) - F.col("words")
     at = sums.withColumn("before", before).join(goals.select(F.col("source").alias("of"), "rest"), F.col("source").eqNullSafe(F.col("of")))
     at = materialize(at.where((F.col("before") < F.col("rest")) & (F.col("rest") <= F.col("before") + F.col("words"))).select("of", F.col("range").alias("at"), "before", "rest"), "cut-ranges")
-    inside = ranged.join(F.broadcast(at) if at.count() <= 10_000 else at, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("at")))
+    inside = ranged.join(sized(at, 5), F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("at")))
     groups = inside.groupBy("of", "key", "tie", "before", "rest").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
     reached = F.col("before") + F.sum("words").over(W.partitionBy("of").orderBy("key", "tie"))
     cut = groups.withColumn("reached", reached).where((F.col("reached") - F.col("words") < F.col("rest")) & (F.col("rest") <= F.col("reached")))
@@ -118,7 +118,7 @@ def _taken(row: Column, of: Column) -> Column:
 def with_plan(rows: DataFrame, planned: DataFrame) -> DataFrame:
     """``rows``, which has a struct ``__tm_row`` of ``sizes``, with the struct ``__tm_of`` of its source's plan."""
     of = planned.select(F.struct(*planned.columns).alias(f"{OWN}of"))
-    return rows.join(of, F.col(f"{OWN}row.source").eqNullSafe(F.col(f"{OWN}of.source")))
+    return rows.join(sized(of, 5), F.col(f"{OWN}row.source").eqNullSafe(F.col(f"{OWN}of.source")))
 
 
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **shares) -> DataFrame:
