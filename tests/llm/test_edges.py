@@ -1,0 +1,59 @@
+"""Every query over odd tables: nulls in every column, empty and very long texts, ties, repeated rows, other columns with clashing names; and over empty ones."""
+
+import pytest
+
+from tidemark.llm.queries import queries
+
+TEXTS = [
+    None, "", " \n\t", "a", "one two", "x" * 200_000, "w1 " * 60_000, "line\n" * 20_000, "1,2 " * 30_000, "@" * 5000 + "." * 5000, "0" * 20_000, " " * 20_000, "😀 é ß ﬀ \x00 \x1f end", "same text of a copy with enough words to be kept " * 3,
+    "same text of a copy with enough words to be kept " * 3, "MIT License\n\nApache License", "a@b.example.org 1.2.3.4 +1 555 555 5555 4111 1111 1111 1111", " ".join(f"good{i}" for i in range(60)),
+]
+CLASH = "words string, score double, kept boolean, size long, fp long, uid long, `end` string, node long, key string, n long, value string, `order` int, part int"
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("odd"))
+    rest = ("w", 0.5, None, 7, 1, 2, "e", 3, "k", 4, None, 5, 6)
+    docs = [(i, t, ("en", "de", None)[i % 3], ("s", None)[i % 2], len(t or ""), *rest) for i, t in enumerate(TEXTS)]
+    docs += [docs[3], docs[3], docs[13], (None, "no id here", None, None, None, *rest), (None, None, None, None, None, *[None] * 13), (-5, "a negative id", "en", "", 0, *rest)]
+    spark.createDataFrame(docs, f"doc_id long, text string, lang string, source string, n_chars long, {CLASH}").repartition(3).write.parquet(f"{path}/documents.parquet")
+    labels = [(i, i % 2, 0) for i in range(16)] + [(None, 1, 0), (3, None, None), (3, 0, 1), (99, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    pages = [(i, None if i == 2 else f"http://x/{i}", t, "clash") for i, t in enumerate(TEXTS)] + [(None, None, None, None), (3, "http://x/3", "a", "clash"), (3, "http://x/3", "a", "clash")]
+    spark.createDataFrame(pages, "page_id long, url string, html string, payload string").repartition(3).write.parquet(f"{path}/pages.parquet")
+    return path, {"documents": len(docs), "pages": len(pages)}
+
+
+@pytest.fixture(scope="module")
+def none(spark, odd, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("none"))
+    for t in ("documents", "labels", "pages"):
+        spark.read.parquet(f"{odd[0]}/{t}.parquet").limit(0).write.parquet(f"{path}/{t}.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", list(queries()))
+def test_odd_tables(spark, odd, name):
+    path, rows = odd
+    got = queries()[name](spark, path)
+    found = got.collect()
+    if name.startswith("op7"):
+        assert sorted({(r.doc_id is None, r.doc_id) for r in found}, key=str) == sorted({(r.doc_id is None, r.doc_id) for r in spark.read.parquet(f"{path}/documents.parquet").collect()}, key=str)
+    else:
+        assert len(found) == rows["pages" if name.startswith("op1_") else "documents"]
+    again = queries()[name](spark, path)
+    if not name.startswith("op7"):
+        assert sorted(map(str, again.collect())) == sorted(map(str, found))
+
+
+@pytest.mark.parametrize("name", list(queries()))
+def test_empty_tables(spark, none, name):
+    assert queries()[name](spark, none).collect() == []
+
+
+def test_pipeline_over_odd_tables(spark, odd):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.run(spark, odd[0]).collect()
+    assert {r.doc_id for r in rows} == {len(TEXTS) - 1}  # all others have too few words, or repeat themselves

@@ -61,11 +61,12 @@ def drop_tables(spark: SparkSession, paths: list[str]) -> None:
         TABLES.remove(path)
 
 
-def sized(table: DataFrame, width: int = 1) -> DataFrame:
-    """A written table as the other side of a join: broadcast up to ``BROADCAST_ROWS / width`` rows (``width`` for rows that
-    take more), by count and not by compressed size; beyond that, both sides are shuffled and merged, and adaptive execution
-    splits skewed keys."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS // width else table.hint("merge")
+def sized(table: DataFrame, width: int = 1, rows: int | None = None) -> DataFrame:
+    """A table as the other side of a join: broadcast up to ``BROADCAST_ROWS / width`` rows (``width`` for rows that take
+    more), by count and not by compressed size; beyond that, both sides are shuffled and merged, and adaptive execution splits
+    skewed keys. ``rows`` is a bound that is known; else a written table is counted."""
+    n = table.count() if rows is None else rows
+    return F.broadcast(table) if n <= BROADCAST_ROWS // width else table.hint("merge")
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, sized
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -18,13 +18,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     both = links.select(F.col(a).alias("node"), F.col(b).alias("to")).where("node != to")
     both = materialize(both.unionByName(both.select(F.col("to").alias("node"), F.col("node").alias("to"))).distinct(), "links")
     labels = materialize(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("root")), "labels-0")
-    turn = 0
+    turn, n = 0, labels.count()
     while True:
         turn += 1
-        near = both.join(labels.select(F.col("node").alias("to"), F.col("root").alias("near")), "to").groupBy("node").agg(F.min("near").alias("near"))
-        hooked = materialize(labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root")), f"hooked-{turn}")
+        near = both.join(sized(labels.select(F.col("node").alias("to"), F.col("root").alias("near")), rows=n), "to").groupBy("node").agg(F.min("near").alias("near"))
+        hooked = materialize(labels.join(sized(near, rows=n), "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root")), f"hooked-{turn}")
         above = hooked.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        jumped = materialize(hooked.join(above, "root").select("node", "old", F.least("root", "above").alias("root")), f"labels-{turn}")
+        jumped = materialize(hooked.join(sized(above, rows=n), "root").select("node", "old", F.least("root", "above").alias("root")), f"labels-{turn}")
         labels = jumped.select("node", "root")
         if jumped.where("root != old").isEmpty():
             return labels

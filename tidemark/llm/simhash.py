@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import OWN, map_rows, materialize, read
+from .common import OWN, map_rows, materialize, read, sized
 from .components import components
 
 SHINGLE = 3
@@ -233,17 +233,18 @@ def links(classes: DataFrame, held: int = HELD) -> DataFrame:
 def class_components(prints: DataFrame, id_col: str = "doc_id", held: int = HELD) -> DataFrame:
     """(fp, component_id): for each class, the smallest id among the documents that it is connected with."""
     classes = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("first")), "simhash-classes")
+    n = classes.count()
     roots = components(links(classes, held))
-    joined = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    joined = classes.join(sized(roots.withColumnRenamed("node", "fp"), rows=n), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     joined = materialize(joined, "simhash-roots")
-    least = materialize(joined.where("root != fp").select("root").distinct().join(joined, "root").groupBy("root").agg(F.min("first").alias("least")), "simhash-least")
-    return materialize(joined.join(least, "root", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "simhash-components")
+    least = materialize(joined.join(sized(joined.where("root != fp").select("root").distinct(), rows=n), "root").groupBy("root").agg(F.min("first").alias("least")), "simhash-least")
+    return materialize(joined.join(sized(least, rows=n), "root", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "simhash-components")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: int = HELD) -> DataFrame:
     """(id, fingerprint, component_id) of every document."""
     prints = materialize(fingerprints(docs, id_col, text_col), "simhash-prints")
-    joined = prints.join(class_components(prints, id_col, held), "fp")
+    joined = prints.join(sized(class_components(prints, id_col, held)), "fp")
     return joined.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -262,9 +263,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     marked = materialize(map_rows(numbered, run, schema), "simhash-docs")
     prints = marked.select(F.col(id_col).cast("long").alias("id"), F.col(uid).alias("uid"), F.col(fp).alias("fp"))
     where = class_components(prints.select("id", "fp"), "id")
-    first = prints.join(where, "fp").groupBy(F.coalesce("component_id", F.col("fp")).alias("component_id"), F.col("component_id").isNull().alias("none")).agg(F.min(F.struct(F.col("id").isNull(), "id", "uid")).alias("first"))
+    first = prints.join(sized(where), "fp").groupBy(F.coalesce("component_id", F.col("fp")).alias("component_id"), F.col("component_id").isNull().alias("none")).agg(F.min(F.struct(F.col("id").isNull(), "id", "uid")).alias("first"))
     kept = materialize(first.select(F.col("first.uid").alias(uid)), "simhash-kept")
-    return marked.join(kept, uid, "left_semi").select(*names)
+    return marked.join(sized(kept), uid, "left_semi").select(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
