@@ -40,7 +40,8 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: The same vocabulary as ranks, for the faster encoder.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PLAIN = re.compile(r"[\x00-ɏ‐-‧€]*\Z")
-LONG_RUN = re.compile(r"\s{500}|[^\W\d_]{2000}|\d{2000}|[^\w\s]{2000}")
+#: A text with a longer word, or with this many blanks more than words, goes to the exact encoder.
+LONG_RUN = 1000
 
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECE_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
@@ -64,9 +65,11 @@ def encoder(tokenizer: str = TOKENIZER, ranks: str = RANKS) -> Callable[[str], l
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
 
         def encode(text: str) -> list[int]:
-            if PLAIN.match(text) and not LONG_RUN.search(text) and not any(s in text for s in special):
-                return fast(text)
-            return exact.encode(text, add_special_tokens=False).ids
+            words = list(map(len, text.split()))
+            runs = max(words, default=0) > LONG_RUN or len(text) - sum(words) - len(words) > LONG_RUN
+            if runs or not PLAIN.match(text) or any(s in text for s in special):
+                return exact.encode(text, add_special_tokens=False).ids
+            return fast(text)
 
         _ENCODERS[tokenizer, ranks] = encode
     return _ENCODERS[tokenizer, ranks]
