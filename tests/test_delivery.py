@@ -21,6 +21,8 @@ def test_pipeline_and_router(spark):
     df = spark.range(10)
     assert [r.id for r in Pipeline().map(v=F.col("id")).filter(F.col("v") > 5).build(df).collect()] == [6, 7, 8, 9]
     assert Pipeline().map(v=F.when(F.col("id") > 7, F.col("id"))).build(df).count() == 2
+    made = Pipeline().map_python(lambda r: {"v": r["id"] * 2} if r["id"] % 2 else None, "v long").filter_python(lambda r: r["v"] > 5).build(df)
+    assert sorted(r.v for r in made.collect()) == [6, 10, 14, 18]
     tx = spark.createDataFrame([("tx-1", 50.0), ("tx-2", 15000.0), ("tx-3", 500.0), ("tx-4", None)], "id string, amount double")
     router = Router().add_route(F.col("amount") > 10000, "high").add_route(F.col("amount") > 0, "standard")
     assert {r.id: r.topic for r in router.route(tx).collect()} == {"tx-1": "standard", "tx-2": "high", "tx-3": "standard"}

@@ -11,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import sequential
 
 from tidemark.functions.time import Session, Sliding, Tumbling, seconds_to_millis
-from tidemark.operators.aggregate import ordered_fold, window_aggregate
+from tidemark.operators.aggregate import ordered_fold, python_fold, window_aggregate
 from tidemark.operators.eventtime import active_sessions, assign_windows, sessions, split_late, with_watermark
 from tidemark.operators.joins import windowed_join
 from tidemark.plans.prefix import dense_numbers, running_max
@@ -95,6 +95,8 @@ def test_fold_in_order(spark):
     df = spark.createDataFrame([("k", 2, "b"), ("k", 1, "a"), ("j", 1, "z")], "key string, seq long, v string")
     got = ordered_fold(df, ["key"], ["seq"], ["v"], F.lit(""), lambda s, r: F.concat(s, r["v"]))
     assert {x.key: x.state for x in got.collect()} == {"k": "ab", "j": "z"}
+    other = python_fold(df, ["key"], ["seq"], lambda s, r: (s[0] + r.v, s[1] + 1), ("", 0), "state string, n long")
+    assert {x.key: (x.state, x.n) for x in other.collect()} == {"k": ("ab", 2), "j": ("z", 1)}
 
 
 def test_sliding_join_gives_a_pair_per_shared_window(spark):

@@ -6,11 +6,16 @@ DataFrames. A row for which a mapped value is null is dropped, as a step that re
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from tidemark.workers import importable
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -33,6 +38,27 @@ class Pipeline:
         """Keep rows for which the predicate is true; null and zero drop the row. A boolean predicate reaches the scan."""
         return self._with(lambda df: df.where(predicate.cast("boolean")))
 
+    def map_python(self, fn: Callable[[dict], dict | None], schema: str | T.StructType) -> Pipeline:
+        """A function of one record as a dict, for what no Column expresses; None drops the record. Rows go to Python in Arrow batches."""
+
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kind = to_arrow_schema(made)
+            for part in parts:
+                rows = [out for row in part.to_pylist() if (out := fn(row)) is not None]
+                yield pa.RecordBatch.from_pylist(rows, schema=kind)
+
+        made = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+        def step(df: DataFrame) -> DataFrame:
+            importable(df.sparkSession)
+            return df.mapInArrow(run, made)
+
+        return self._with(step)
+
+    def filter_python(self, fn: Callable[[dict], object]) -> Pipeline:
+        """Keep records for which a function of the record is true."""
+        return self._with(lambda df: Pipeline().map_python(lambda row: row if fn(row) else None, df.schema).build(df))
+
     def apply(self, fn: Step) -> Pipeline:
         return self._with(fn)
 
