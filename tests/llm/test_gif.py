@@ -39,6 +39,14 @@ def test_lzw_round_trip(n, kind):
     assert gif.lzw_decode(stream, 8, n) == data
 
 
+@pytest.mark.parametrize("size", [2, 3, 7])
+def test_fewer_colours(size):
+    r = random.Random(size)
+    data = bytes(r.randrange(1 << size) for _ in range(9000))
+    stream = gif.lzw_encode(data, size)
+    assert bitwise_decode(stream, size) == data == gif.lzw_decode(stream, size, len(data))
+
+
 def test_deferred_clear_is_read():
     """A stream that goes on with 12-bit codes after the table is full."""
     r = random.Random(1)

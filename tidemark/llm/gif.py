@@ -72,8 +72,20 @@ def lzw_encode(samples: bytes, size: int = 8) -> bytes:
     since = np.arange(len(codes)) - np.maximum.accumulate(np.where(np.concatenate(([True], codes[:-1] == clear)), np.arange(len(codes)), 0))
     since[0] = 0  # the first clear code; those that follow it count from 1, as after any other
     widths = _widths(since + (np.arange(len(codes)) > 0), clear)
-    bits = (codes[:, None] >> np.arange(12, dtype=np.uint16)) & 1
-    return np.packbits(bits[np.arange(12) < widths[:, None]].astype(np.uint8), bitorder="little").tobytes()
+    return _pack(codes, widths)
+
+
+def _pack(codes: np.ndarray, widths: np.ndarray) -> bytes:
+    """Codes as a little-endian stream of bits."""
+    ends = np.cumsum(widths)
+    if widths.min() < 8:
+        bits = (codes[:, None] >> np.arange(12, dtype=np.uint16)) & 1
+        return np.packbits(bits[np.arange(12) < widths[:, None]].astype(np.uint8), bitorder="little").tobytes()
+    starts = ends - widths
+    out, at, value = np.zeros((int(ends[-1]) + 7) // 8 + 2, np.uint8), starts >> 3, codes.astype(np.uint32) << (starts & 7).astype(np.uint32)
+    for k in range(3):  # a code of 8 bits or more starts in a byte of its own, so no index comes twice
+        out[at + k] |= (value >> np.uint32(8 * k)).astype(np.uint8)
+    return out[: (int(ends[-1]) + 7) // 8].tobytes()
 
 
 def _widths(position: np.ndarray, clear: int) -> np.ndarray:
@@ -84,43 +96,46 @@ def _widths(position: np.ndarray, clear: int) -> np.ndarray:
 def lzw_decode(data: bytes, size: int, n_samples: int) -> bytes:
     """The samples of an LZW code stream; ends at the end code, at ``n_samples`` or where the data end."""
     clear, end = 1 << size, (1 << size) + 1
-    bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
+    raw, n_bits = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32), 8 * len(data)
     widths = _widths(np.arange(1, 4097), clear)
     offsets = np.concatenate(([0], np.cumsum(widths)))
     base = [bytes([i]) for i in range(clear)] + [b"", b""]
     at, got, out = 0, 0, []
     table, previous, position = list(base), None, 0  # position: codes read since the clear code, 4096 at most
     while got < n_samples:
-        n = int(np.searchsorted(offsets[position:] - offsets[position], len(bits) - at, side="right")) - 1 if position < 4096 else 0
+        n = int(np.searchsorted(offsets[position:] - offsets[position], n_bits - at, side="right")) - 1 if position < 4096 else 0
         if position < 4096:
             n = min(n, 4096 - position)
             where, width = at + offsets[position : position + n] - offsets[position], widths[position : position + n]
         else:
-            n = min((len(bits) - at) // 12, 4096)
+            n = min((n_bits - at) // 12, 4096)
             where, width = at + 12 * np.arange(n), np.full(n, 12)
         if n <= 0:
             break
-        grid = where[:, None] + np.arange(12)
-        taken = bits[np.minimum(grid, len(bits) - 1)].astype(np.int64) & (np.arange(12) < width[:, None])
-        codes = taken @ (1 << np.arange(12))
+        byte = where >> 3
+        codes = ((raw[byte] | raw[byte + 1] << np.uint32(8) | raw[byte + 2] << np.uint32(16)) >> (where & 7).astype(np.uint32)).astype(np.int64) & ((1 << width) - 1)
         stops = np.flatnonzero((codes == clear) | (codes == end))
         use = int(stops[0]) if len(stops) else n
-        full = 4096 - len(table)
-        for code in codes[:use].tolist():
-            if previous is None:
+        run = codes[:use].tolist()
+        if previous is None and run:
+            previous = base[run[0]]
+            out.append(previous)
+            del run[0]
+        room = max(0, 4096 - len(table))
+        learn, put = table.append, out.append
+        for code in run[:room]:
+            try:
                 entry = table[code]
-            else:
-                if code < len(table):
-                    entry = table[code]
-                elif code == len(table) and full > 0:
-                    entry = previous + previous[:1]
-                else:
-                    raise ValueError("broken LZW stream")
-                if full > 0:
-                    table.append(previous + entry[:1])
-                    full -= 1
-            out.append(entry)
+            except IndexError:
+                if code != len(table):
+                    raise ValueError("broken LZW stream") from None
+                entry = previous + previous[:1]
+            learn(previous + entry[:1])
+            put(entry)
             previous = entry
+        if run[room:]:
+            out += map(table.__getitem__, run[room:])
+            previous = out[-1]
         got = sum(map(len, out)) if len(stops) else got
         if not len(stops):
             at, position = at + int(width.sum()), min(4096, position + n)
