@@ -35,19 +35,23 @@ def shared_dir(spark: SparkSession) -> str:
 TABLES: list[str] = []
 #: Rows of a table of numbers or short strings that a join may broadcast: some tens of MB in memory.
 BROADCAST_ROWS = 500_000
+#: Rows of a file of a narrow table.
+FILE_ROWS = 100_000
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts lineage, survives lost executors, stays columnar.
+def materialize(df: DataFrame, name: str, codec: str = "zstd", rows: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read again: cuts lineage, survives lost executors, stays columnar. Where a bound
+    of its ``rows`` is known, so many files as they fill are written, not one for each partition of a shuffle.
 
     All tables lie in ``<spark.checkpoint.dir>/<application id>/``, which may go when the application ends.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    df = df if rows is None else df.coalesce(rows // FILE_ROWS + 1)
     df.write.option("compression", codec).parquet(path)
     TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)

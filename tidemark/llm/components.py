@@ -22,9 +22,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         turn += 1
         near = both.join(sized(labels.select(F.col("node").alias("to"), F.col("root").alias("near")), rows=n), "to").groupBy("node").agg(F.min("near").alias("near"))
-        hooked = materialize(labels.join(sized(near, rows=n), "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root")), f"hooked-{turn}")
+        hooked = materialize(labels.join(sized(near, rows=n), "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root")), f"hooked-{turn}", rows=n)
         above = hooked.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        jumped = materialize(hooked.join(sized(above, rows=n), "root").select("node", "old", F.least("root", "above").alias("root")), f"labels-{turn}")
+        jumped = materialize(hooked.join(sized(above, rows=n), "root").select("node", "old", F.least("root", "above").alias("root")), f"labels-{turn}", rows=n)
         labels = jumped.select("node", "root")
         if jumped.where("root != old").isEmpty():
             return labels

@@ -236,9 +236,9 @@ def class_components(prints: DataFrame, id_col: str = "doc_id", held: int = HELD
     n = classes.count()
     roots = components(links(classes, held))
     joined = classes.join(sized(roots.withColumnRenamed("node", "fp"), rows=n), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    joined = materialize(joined, "simhash-roots")
-    least = materialize(joined.join(sized(joined.where("root != fp").select("root").distinct(), rows=n), "root").groupBy("root").agg(F.min("first").alias("least")), "simhash-least")
-    return materialize(joined.join(sized(least, rows=n), "root", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "simhash-components")
+    joined = materialize(joined, "simhash-roots", rows=n)
+    least = materialize(joined.join(sized(joined.where("root != fp").select("root").distinct(), rows=n), "root").groupBy("root").agg(F.min("first").alias("least")), "simhash-least", rows=n)
+    return materialize(joined.join(sized(least, rows=n), "root", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "simhash-components", rows=n)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: int = HELD) -> DataFrame:
