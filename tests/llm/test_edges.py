@@ -42,9 +42,8 @@ def test_odd_tables(spark, odd, name):
         assert sorted({(r.doc_id is None, r.doc_id) for r in found}, key=str) == sorted({(r.doc_id is None, r.doc_id) for r in spark.read.parquet(f"{path}/documents.parquet").collect()}, key=str)
     else:
         assert len(found) == rows["pages" if name.startswith("op1_") else "documents"]
-    again = queries()[name](spark, path)
-    if not name.startswith("op7"):
-        assert sorted(map(str, again.collect())) == sorted(map(str, found))
+    if name.startswith(("op3", "op8", "op10")):  # those that draw samples
+        assert sorted(map(str, queries()[name](spark, path).collect())) == sorted(map(str, found))
 
 
 @pytest.mark.parametrize("name", list(queries()))

@@ -9,7 +9,7 @@ On the main path a filter's value at a place is a sum of table entries: as the e
 and (2, 3) of a filter give is kept for all 65,536 byte pairs, so a window needs two look-ups a byte for all filters.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; without labelled rows every text is
-``und``; rows with a null language are not learned from; repeated rows give equal results; other columns are ignored.
+``und``; of more than 500 languages the most frequent are learned; rows with a null language are not learned from; repeated rows give equal results; other columns are ignored.
 """
 
 from __future__ import annotations
