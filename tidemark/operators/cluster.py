@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def live_leases(claims: DataFrame, now_ms: int) -> DataFrame:
-    """The holder of each partition: of its claims that haven't expired, the earliest."""
-    alive = claims.where(F.col("expires_ms") > now_ms)
+    """The holder of each partition: of its claims made by now that haven't expired, the earliest."""
+    alive = claims.where((F.col("claimed_ms") <= now_ms) & (F.col("expires_ms") > now_ms))
     return alive.groupBy("partition").agg(F.min_by(F.struct("node_id", "expires_ms"), F.struct("claimed_ms", "node_id")).alias("c")).select("partition", "c.node_id", "c.expires_ms")
 
 

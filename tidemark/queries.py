@@ -5,7 +5,7 @@ Disorder is made the same way in both engines: events arrive in the order of (ev
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,7 @@ from tidemark.operators.aggregate import ordered_fold, window_aggregate
 from tidemark.operators.eventtime import active_sessions, assign_windows, sessions, split_late, with_watermark
 from tidemark.operators.joins import windowed_join
 from tidemark.plans.pipeline import Pipeline, Router
+from tidemark.plans.prefix import dense_numbers
 from tidemark.sources import commit_log
 
 HOUR = 3_600_000
@@ -130,11 +131,11 @@ def partition_assign(spark, d):
     return table(spark, d, "events").select("event_id", K.partition_of(F.col("user_id"), 4).alias("partition"))
 
 
-@query("message_id_order", "SELECT event_id // 7 AS hi, event_id % 7 AS lo, row_number() OVER (ORDER BY event_id // 7, event_id % 7) AS place FROM events ORDER BY 1, 2 LIMIT 100")
+@query("message_id_order", "SELECT event_id, row_number() OVER (ORDER BY event_id // 7, event_id % 7) - 1 AS place FROM events")
 def message_id_order(spark, d):
-    ids = table(spark, d, "events").select(K.parse_message_id(F.concat_ws("-", F.floor(F.col("event_id") / 7).cast("long"), F.col("event_id") % 7)).alias("id"))
-    first = ids.orderBy("id").limit(100)
-    return first.select("id.hi", "id.lo", F.row_number().over(Window.orderBy("id")).cast("long").alias("place"))  # a hundred rows
+    """Places of ids such as "12-3" in numeric order, over the whole table without one window."""
+    ids = table(spark, d, "events").select("event_id", K.parse_message_id(F.concat_ws("-", F.floor(F.col("event_id") / 7).cast("long"), F.col("event_id") % 7)).alias("id"), F.lit(0).alias("one"))
+    return dense_numbers(ids, ["one"], ["id"], "place").select("event_id", "place")
 
 
 # Windows, sessions, watermarks
@@ -528,35 +529,36 @@ def replica_catchup(spark, d):
 
 # Cluster
 
-_CLAIMS = "SELECT user_id % 16 AS partition, event_id % 5 AS node_id, event_id AS claimed_ms, event_id + 100 + event_id % 7 * 1000 AS expires_ms FROM events WHERE event_id < 6000"
-_LEASES = f"SELECT partition, node_id, expires_ms FROM ({_CLAIMS}) WHERE expires_ms > 6000 QUALIFY row_number() OVER (PARTITION BY partition ORDER BY claimed_ms, node_id) = 1"
+NOW = AS_OF
+_CLAIMS = f"SELECT user_id % 16 AS partition, event_id % 5 AS node_id, ms AS claimed_ms, ms + 7200000 * (1 + event_id % 7) AS expires_ms FROM ({_E})"
+_LEASES = f"SELECT partition, node_id, expires_ms FROM ({_CLAIMS}) WHERE claimed_ms <= {NOW} AND expires_ms > {NOW} QUALIFY row_number() OVER (PARTITION BY partition ORDER BY claimed_ms, node_id) = 1"
 
 
 def claims(spark, d):
-    e = table(spark, d, "events").where("event_id < 6000")
-    return e.select((F.col("user_id") % 16).alias("partition"), (F.col("event_id") % 5).alias("node_id"), F.col("event_id").alias("claimed_ms"), (F.col("event_id") + 100 + F.col("event_id") % 7 * 1000).alias("expires_ms"))
+    e = events(spark, d)
+    return e.select((F.col("user_id") % 16).alias("partition"), (F.col("event_id") % 5).alias("node_id"), F.col("ms").alias("claimed_ms"), (F.col("ms") + 7_200_000 * (1 + F.col("event_id") % 7)).alias("expires_ms"))
 
 
 def nodes(spark, d):
-    return table(spark, d, "supplier").where("s_suppkey < 5").select(F.col("s_suppkey").alias("node_id"), F.col("s_name").alias("host"), (9000 + F.col("s_nationkey")).alias("port"))
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("node_id"), F.col("s_name").alias("host"), (9000 + F.col("s_nationkey")).alias("port"))
 
 
-_NODES = "SELECT s_suppkey AS node_id, s_name AS host, 9000 + s_nationkey AS port FROM supplier WHERE s_suppkey < 5"
+_NODES = "SELECT s_suppkey AS node_id, s_name AS host, 9000 + s_nationkey AS port FROM supplier"
 
 
 @query("lease_acquire", _LEASES)
 def lease_acquire(spark, d):
-    return cluster.live_leases(claims(spark, d), 6000)
+    return cluster.live_leases(claims(spark, d), NOW)
 
 
 @query("fair_share", f"WITH l AS ({_LEASES}), n AS ({_NODES}), h AS (SELECT n.node_id, count(l.partition) AS held FROM n LEFT JOIN l USING (node_id) GROUP BY 1), t AS (SELECT (SELECT count(DISTINCT partition) FROM l) // greatest((SELECT count(*) FROM n), 1) + 1 AS share, (SELECT count(*) FROM n) AS c) SELECT node_id, held, share AS fair_share, (held > share AND c > 1)::INT AS release FROM h, t")
 def fair_share(spark, d):
-    return cluster.fair_share(cluster.live_leases(claims(spark, d), 6000), nodes(spark, d))
+    return cluster.fair_share(cluster.live_leases(claims(spark, d), NOW), nodes(spark, d))
 
 
 @query("leader_lookup", f"SELECT partition, node_id, host, port FROM ({_LEASES}) JOIN ({_NODES}) USING (node_id)")
 def leader_lookup(spark, d):
-    return cluster.leaders(cluster.live_leases(claims(spark, d), 6000), nodes(spark, d))
+    return cluster.leaders(cluster.live_leases(claims(spark, d), NOW), nodes(spark, d))
 
 
 @query("cluster_peers", f"SELECT node_id, host FROM ({_NODES}) WHERE node_id <> 3")
@@ -566,7 +568,7 @@ def cluster_peers(spark, d):
 
 @query("cluster_status", f"SELECT node_id, coalesce(string_agg(partition::VARCHAR, ',' ORDER BY partition), '') AS held FROM ({_NODES}) LEFT JOIN ({_LEASES}) USING (node_id) GROUP BY 1")
 def cluster_status(spark, d):
-    rows = cluster.status(cluster.live_leases(claims(spark, d), 6000), nodes(spark, d))
+    rows = cluster.status(cluster.live_leases(claims(spark, d), NOW), nodes(spark, d))
     return rows.select("node_id", F.array_join(F.col("partitions").cast("array<string>"), ",").alias("held"))
 
 
@@ -628,16 +630,16 @@ def offset_injection(spark, d):
     return V.with_offset(e, F.concat_ws("-", F.col("user_id") % 4, F.col("event_id"))).select("event_id", "offset")
 
 
-_RECORDS = "SELECT event_id, user_id % 16 AS partition FROM events WHERE event_id >= 6000"
+_RECORDS = "SELECT event_id, user_id % 16 AS partition FROM events"
 
 
 @query("replicated_append", f"SELECT event_id, partition FROM ({_RECORDS}) WHERE partition IN (SELECT partition FROM ({_LEASES}) WHERE node_id = 2)")
 def replicated_append(spark, d):
-    records = table(spark, d, "events").where("event_id >= 6000").select("event_id", (F.col("user_id") % 16).alias("partition"))
-    return cluster.accepted_appends(records, cluster.live_leases(claims(spark, d), 6000), 2)[0].select("event_id", "partition")
+    records = table(spark, d, "events").select("event_id", (F.col("user_id") % 16).alias("partition"))
+    return cluster.accepted_appends(records, cluster.live_leases(claims(spark, d), NOW), 2)[0].select("event_id", "partition")
 
 
 @query("replicated_append_refused", f"SELECT event_id, 'Not leader for partition ' || partition AS _error FROM ({_RECORDS}) WHERE partition NOT IN (SELECT partition FROM ({_LEASES}) WHERE node_id = 2)")
 def replicated_append_refused(spark, d):
-    records = table(spark, d, "events").where("event_id >= 6000").select("event_id", (F.col("user_id") % 16).alias("partition"))
-    return cluster.accepted_appends(records, cluster.live_leases(claims(spark, d), 6000), 2)[1].select("event_id", "_error")
+    records = table(spark, d, "events").select("event_id", (F.col("user_id") % 16).alias("partition"))
+    return cluster.accepted_appends(records, cluster.live_leases(claims(spark, d), NOW), 2)[1].select("event_id", "_error")
