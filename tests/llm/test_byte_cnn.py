@@ -42,7 +42,7 @@ def test_held_out_accuracy_and_edges(spark):
     got = {r.doc_id: r for r in byte_cnn.predict(docs, net).collect()}
     held = [(i, lang) for i, _, lang in make(600) if zlib.crc32(str(i).encode()) % 4 == 2]
     assert len(held) > 100 and sum(got[i].lang_pred == lang for i, lang in held) > 0.97 * len(held)
-    odd = spark.createDataFrame([(1, None, "z"), (2, "", "z"), (3, "12 34 !!", "z"), (4, "schein " * 200000, "z"), (5, "KALO MITU", "z"), (5, "KALO MITU", "z")], "doc_id long, text string, score string")
+    odd = spark.createDataFrame([(1, None, "z"), (2, "", "z"), (3, "12 34 !! ² Ⅷ _", "z"), (4, "schein " * 200000, "z"), (5, "KALO MITU", "z"), (5, "KALO MITU", "z")], "doc_id long, text string, score string")
     seen = sorted(byte_cnn.predict(odd, net).collect())
     assert [r.lang_pred for r in seen] == ["und", "und", "und", "bb", "aa", "aa"] and seen[0].score == 0.0
     assert all(0 <= r.score <= 1 for r in seen)

@@ -14,12 +14,12 @@ Defined results: a null text, or one without a letter, is ``und`` with score 0;
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +35,7 @@ MAX_ROWS = 12000
 EPOCHS = 5
 BATCH = 64
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass
