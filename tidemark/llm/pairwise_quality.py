@@ -96,9 +96,12 @@ def train(counted: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
     """Fit on the rows of ``counted`` (those that may be learned from) that have a label."""
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("label"))
     rows = counted.select(F.col(id_col).alias("id"), *[v.alias(k) for k, v in features(F.col(f"{OWN}counts")).items()]).join(marks, "id")
-    order = uniform("id", seed=5)
-    parts = [rows.where(F.col("label") == 0), rows.where(F.col("label") != 0)]
-    got = [r for p in parts for r in p.select((F.col("label") != 0).alias("good"), *FEATURES, order.alias("order"), "id").orderBy("order", "id", *FEATURES).limit(max_rows).collect()]
+    rows = materialize(rows.select((F.col("label") != 0).alias("good"), *FEATURES, uniform("id", seed=5).alias("order"), "id"), "labelled")
+    got = []
+    for r in rows.groupBy("good").count().orderBy("good").collect():
+        # The share that is sure to hold enough rows goes on to the sort, so that the driver gets about that many, whatever the number of tasks.
+        share = rows.where((F.col("good") == r["good"]) & (F.col("order") < min(1.0, 1.2 * max_rows / r["count"] + 1e-3)))
+        got += share.orderBy("order", "id", *FEATURES).limit(max_rows).collect()
     return fit(np.array([[r[f] for f in FEATURES] for r in got]), np.array([r["good"] for r in got])) if got else None
 
 
