@@ -76,14 +76,19 @@ class Stream:
         context = Context(sub.topic, self.backend.group, self.emit)
 
         def run(batch: DataFrame, batch_id: int) -> None:
+            held = batch.persist() if sub.checks else None
             if sub.checks:
-                batch, bad = validate_split(batch.persist(), sub.checks)
+                batch, bad = validate_split(batch, sub.checks)
                 if not bad.isEmpty():
                     at = F.col("offset") if "offset" in bad.columns else F.lit(None)
                     bad = bad.withColumnRenamed("_error", "__error")
                     moved = dead_letters(bad, F.col("__error"), F.lit(sub.topic), at, F.current_timestamp())
                     self.backend.with_topic(sub.topic).dead_letters().append(moved.drop("__error"))
-            sub.handler(*(batch, batch_id, context)[: max(1, min(arity, 3))])
+            try:
+                sub.handler(*(batch, batch_id, context)[: max(1, min(arity, 3))])
+            finally:
+                if held is not None:
+                    held.unpersist()
 
         return run
 
