@@ -50,3 +50,15 @@ def test_held_out_accuracy_and_edges(spark):
     assert {r.lang_pred for r in byte_cnn.predict(odd, None).collect()} == {"und"}
     again = {r.doc_id: r.score for r in byte_cnn.predict(docs.repartition(3), byte_cnn.train(docs.where(fold(F.col("doc_id"), 4) != 2).repartition(5))).collect()}
     assert all(abs(again[i] - got[i].score) < 1e-6 for i in again)
+
+
+def test_sample_keeps_small_languages(spark):
+    """Many big languages don't push small ones out of the bounded sample."""
+    sizes = {f"big{i:02}": 3000 for i in range(20)} | {"small": 60, "tiny": 5}
+    docs = spark.createDataFrame([(lang, n) for lang, n in sizes.items()], "lang string, n int").select(F.explode(F.sequence(F.lit(1), "n")).alias("i"), "lang")
+    docs = docs.select(F.xxhash64("lang", "i").alias("doc_id"), F.concat("lang", F.lit(" text "), F.col("i").cast("string")).alias("text"), "lang")
+    seen = {r["lang"]: r["count"] for r in byte_cnn.sample(docs, per_lang=120, max_rows=1200).groupBy("lang").count().collect()}
+    assert seen["small"] > 40 and seen["tiny"] == 5 and len(seen) == 22 and min(seen.values()) >= 5 and sum(seen.values()) < 1400
+    many = spark.range(1200).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"), (F.col("id") % 600).cast("string").alias("lang"))
+    assert byte_cnn.sample(many).select("lang").distinct().count() == 600
+    assert byte_cnn.level([10] * 4 + [10**6] * 6) == byte_cnn.PER_LANG and byte_cnn.level([10**6] * 1000) == byte_cnn.LEAST

@@ -3,13 +3,14 @@
 Texts are lower-cased UTF-8 cut into windows of ``WINDOW`` bytes. A window goes through an embedding of its bytes, filters
 of several widths, ReLU, a maximum over the window, a dense layer and softmax; a text's log-probabilities are the means
 over all its windows, weighted by their bytes. ``train`` fits the network by Adam on a bounded sample of labelled rows:
-one window per sampled row, ``PER_LANG`` rows a language and ``MAX_ROWS`` in all. Prediction covers whole texts.
+one window per sampled row, about ``PER_LANG`` rows a language and ``MAX_ROWS`` in all. Prediction covers whole texts.
 
 On the main path a filter's value at a place is a sum of table entries: as the embedding has 256 rows, what bytes (0, 1)
 and (2, 3) of a filter give is kept for all 65,536 byte pairs, so a window needs two look-ups a byte for all filters.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; without labelled rows every text is
-``und``; of more than 500 languages the most frequent are learned; rows with a null language are not learned from; repeated rows give equal results; other columns are ignored.
+``und``; every labelled language is learned: where ``PER_LANG`` rows of each are more than ``MAX_ROWS``, all big languages give
+equally many, ``LEAST`` at least, so beyond ``MAX_ROWS / LEAST`` languages the sample grows with their number; rows with a null language are not learned from; repeated rows give equal results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ EMBEDDED = 8
 #: The labelled sample: rows of a language and rows in all.
 PER_LANG = 1200
 MAX_ROWS = 12000
+#: Rows of a language, if it has them, however many languages there are.
+LEAST = 32
 EPOCHS = 5
 BATCH = 64
 UNKNOWN = "und"
@@ -138,16 +141,29 @@ def fit(data: list[bytes], labels: list[str], seed: int = 1) -> Net:
     return Net(langs, p["embed"], {w: p[f"f{w}"] for w in WIDTHS}, p["bias"], p["dense"], p["dense_bias"])
 
 
+def level(counts: list[int], per_lang: int = PER_LANG, max_rows: int = MAX_ROWS) -> float:
+    """The rows of each language to sample, so that they make ``max_rows`` together: small languages give all they have and leave their share to the others."""
+    left, counts = max_rows, sorted(counts)
+    for i, n in enumerate(counts):
+        share = left / (len(counts) - i)
+        if n > share:
+            return max(LEAST, min(per_lang, share))
+        left -= n
+    return per_lang
+
+
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, max_rows: int = MAX_ROWS) -> DataFrame:
     """A bounded sample of labelled rows: (lang, piece), a piece being one window's worth of text at a place fixed by hashing."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    share = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(500).collect()
+    share = [(r["lang"], r["count"]) for r in rows.groupBy("lang").count().collect()]
     if not share:
         return rows.select("lang", F.col("text").alias("piece")).limit(0)
-    keep = F.create_map(*[F.lit(x) for r in share for x in (r["lang"], min(1.0, per_lang / r["count"]))])
+    most = level([n for _, n in share], per_lang, max_rows)
+    keep = docs.sparkSession.createDataFrame([(lang, min(1.0, most / n)) for lang, n in share], "lang string, keep double")
     order = uniform("id", F.xxhash64("text"), seed=7)
     place = F.lit(1) + F.pmod(F.xxhash64(F.lit(11), "id"), F.greatest(F.lit(1), F.length("text") - WINDOW * 3 // 4)).cast("int")
-    return rows.select("lang", F.col("text").substr(place, F.lit(WINDOW)).alias("piece"), order.alias("order")).where(F.col("order") < keep[F.col("lang")]).orderBy("order", "lang", "piece").limit(max_rows).select("lang", "piece")
+    pieces = rows.select("lang", F.col("text").substr(place, F.lit(WINDOW)).alias("piece"), order.alias("order"))
+    return pieces.join(F.broadcast(keep), "lang").where(F.col("order") < F.col("keep")).orderBy("order", "lang", "piece").select("lang", "piece")
 
 
 def train(docs: DataFrame, **columns) -> Net | None:
