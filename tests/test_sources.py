@@ -168,3 +168,13 @@ def test_settings_and_cli(spark, tmp_path, capsys):
     assert spark.read.parquet(str(tmp_path / "dlq")).count() == 0
     spark.createDataFrame([("g", 3), ("g", 4)], "group string, committed long").write.parquet(str(tmp_path / "off"))
     assert cli.groups(spark, str(tmp_path / "off")) == ['{"committed": 7, "group": "g"}']
+
+
+def test_subscription_options_reach_the_source(spark, tmp_path):
+    source = backends.open_topic(spark, "in", "g", "log", SCHEMA, path=str(tmp_path / "topics"))
+    for i in range(3):
+        source.append(spark.range(i, i + 1, 1, 1).select(F.col("id").alias("event_id"), F.lit("t").alias("event_type"), F.col("id").alias("ms")))
+    stream, seen = Stream(spark, source, str(tmp_path / "ck")), []
+    stream.subscribe(maxFilesPerTrigger="1")(lambda batch: seen.append(batch.count()))
+    stream.run()
+    assert seen == [1, 1, 1]

@@ -37,7 +37,7 @@ class Backend(ABC):
     def read(self) -> DataFrame: ...
 
     @abstractmethod
-    def read_stream(self) -> DataFrame: ...
+    def read_stream(self, **options: object) -> DataFrame: ...
 
     @abstractmethod
     def append(self, rows: DataFrame) -> None: ...
@@ -73,8 +73,8 @@ class FileBackend(Backend):
                 raise
             return self.spark.createDataFrame([], self._typed())
 
-    def read_stream(self) -> DataFrame:
-        return self.spark.readStream.schema(self._typed()).option("mode", "DROPMALFORMED").json(self.location)
+    def read_stream(self, **options: object) -> DataFrame:
+        return self.spark.readStream.options(**options).schema(self._typed()).option("mode", "DROPMALFORMED").json(self.location)
 
     def append(self, rows: DataFrame) -> None:
         rows.write.mode("append").json(self.location)
@@ -90,8 +90,8 @@ class LogBackend(Backend):
     def read(self) -> DataFrame:
         return self.spark.read.parquet(self.location) if self.schema is None else self.spark.read.schema(self.schema).parquet(self.location)
 
-    def read_stream(self) -> DataFrame:
-        return self.spark.readStream.schema(self.schema or self.read().schema).parquet(self.location)
+    def read_stream(self, **options: object) -> DataFrame:
+        return self.spark.readStream.options(**options).schema(self.schema or self.read().schema).parquet(self.location)
 
     def append(self, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(self.location)
@@ -111,7 +111,7 @@ class MemoryBackend(Backend):
             out = out.unionByName(part, allowMissingColumns=True)
         return out
 
-    def read_stream(self) -> DataFrame:
+    def read_stream(self, **options: object) -> DataFrame:
         raise NotImplementedError("a memory topic has no stream; use a file or log topic")
 
     def append(self, rows: DataFrame) -> None:
@@ -132,8 +132,8 @@ class KafkaBackend(Backend):
     def read(self) -> DataFrame:
         return self._decoded(self.spark.read.format("kafka").options(**self._options()).load())
 
-    def read_stream(self) -> DataFrame:
-        return self._decoded(self.spark.readStream.format("kafka").options(**self._options()).load())
+    def read_stream(self, **options: object) -> DataFrame:
+        return self._decoded(self.spark.readStream.format("kafka").options(**{**options, **self._options()}).load())
 
     def append(self, rows: DataFrame) -> None:
         key = F.col("event_id").cast("string") if "event_id" in rows.columns else F.lit(None).cast("string")
@@ -151,8 +151,8 @@ class RedisBackend(Backend):
     def read(self) -> DataFrame:
         return self.spark.read.format(RedisSource.name()).options(**self._source()).load()
 
-    def read_stream(self) -> DataFrame:
-        return self.spark.readStream.format(RedisSource.name()).options(**self._source()).load()
+    def read_stream(self, **options: object) -> DataFrame:
+        return self.spark.readStream.format(RedisSource.name()).options(**{**options, **self._source()}).load()
 
     def append(self, rows: DataFrame) -> None:
         nested = [f.name for f in rows.schema.fields if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))]

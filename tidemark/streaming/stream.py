@@ -96,7 +96,7 @@ class Stream:
         for i, sub in enumerate(self.subscriptions):
             name = f"{self.backend.group}/{sub.topic}/{i}"
             source = self.backend.with_topic(sub.topic)
-            rows = source.read_stream()
+            rows = source.read_stream(**sub.options)
             writer = rows.writeStream.foreachBatch(self._run(sub)).option("checkpointLocation", f"{self.checkpoints}/{name}")
             self.queries[name] = (writer.trigger(availableNow=True) if available_now else writer).start()
         return list(self.queries.values())
