@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -77,3 +79,85 @@ def test_empty(spark):
     assert pii.spans_of(docs).count() == 0 and pii.redact(docs).count() == 0
     long = spark.range(1).select(F.lit(1).cast("long").alias("doc_id"), F.repeat(F.lit("12,34 "), 200000).alias("text"), F.lit(7).alias("n_chars"))
     assert pii.redact(long).first().n_chars == 7
+
+
+def brute_graph(cells, confidence=0.8, support=5):
+    """Scores of the graph by plain loops; cells: (pattern, instance, seed)."""
+    seeds = {i for _, i, seed in cells if seed}
+    of = {}
+    for p, i, _ in cells:
+        of.setdefault(p, set()).add(i)
+    worth = {i: 1.0 if i in seeds else 0.0 for _, i, _ in cells}
+    while True:
+        score = {p: sum(worth[i] for i in x) / (len(x) + 1) for p, x in of.items() if sum(worth[i] >= confidence for i in x) >= support}
+        good = {p: s for p, s in score.items() if s >= 0.5}
+        new = {}
+        for i in worth:
+            miss = 1.0
+            for p, s in good.items():
+                miss *= 1 - min(s, 0.99) if i in of[p] else 1
+            new[i] = 1.0 if i in seeds else 1 - miss
+        rise = max((new[i] - worth[i] for i in worth), default=0)
+        worth = new
+        if rise <= 0.01:
+            return {p: s for p, s in good.items() if s >= confidence}
+
+
+def test_graph_against_brute_force(spark):
+    r = random.Random(3)
+    words = ["call", "mail", "write", "account", "order", "member"]
+    texts = []
+    for i in range(400):
+        w = r.choice(words)
+        value = f"u{i % 90}@mail.example.org" if r.random() < {"call": 0.9, "mail": 0.8, "write": 0.55}.get(w, 0.02) else f"K-{r.randint(1000, 1060)}"
+        texts.append(f"please {w} {value} {r.choice(['soon', 'now'])}")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = pii.extract(docs)
+    cells = [tuple(x) for x in pii.graph(found).collect()]
+    want = brute_graph(cells)
+    got = {x.pattern: x.score for x in pii.confident_patterns(found).collect()}
+    assert got.keys() == want.keys() and len(want) > 3
+    assert all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
+def test_found_identifiers_bring_up_other_patterns(spark):
+    """"customer account" stands before no base kind, only before numbers that "reach me" has found."""
+    texts = [f"text {i} you may reach me u{i}@mail.example.org at noon" for i in range(16)]
+    texts += [f"then reach me KX-44{i:02}-9920 at noon" for i in range(8)]
+    texts += [f"of customer account KX-44{i:02}-9920 as agreed" for i in range(8)]
+    texts += ["of customer account ZZ-7781-0031 as agreed", "the order no 5512-8871 at once"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = {r.doc_id: [tuple(x) for x in r["__tm_spans"] if x.kind == "id"] for r in pii.spans_of(docs).collect()}
+    for i, text in enumerate(texts):
+        at = text.find("KX-") if "KX-" in text else text.find("ZZ-")
+        assert ids[i] == ([("id", at, at + 12)] if at >= 0 else []), text
+
+
+def test_identifiers_and_words_of_any_length(spark):
+    long = "A1234" + "x" * 5000
+    word = "w" * 3000
+    texts = [f"{word} u{i}@mail.example.org at noon" for i in range(8)] + [f"{word} {long} at noon", "w" * 2999 + "v 12345678 none"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = {r.doc_id: [tuple(x) for x in r["__tm_spans"] if x.kind == "id"] for r in pii.spans_of(docs).collect()}
+    assert ids[8] == [("id", 3001, 3001 + len(long))] and ids[9] == [] and ids[0] == []
+
+
+def test_tokens_apart_from_spans(spark):
+    texts = ["x12345@a.bc K-12345 1.2.3.4 1.2.3.4x9999 +1 555 555 5555 id77777", "4111 1111 1111 1111 K99999 a1234567@b.c d1234", "none 12345 at all"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.extract(docs).select("doc_id", "__tm_found.other").collect():
+        text = texts[r.doc_id]
+        base = [(a, b) for _, a, b in brute(text)]
+        tokens = [(m.start(), m.end()) for m in re.finditer(r"(?<![A-Za-z0-9_./@+-])[A-Za-z0-9_./@+-]{6,}", text) if len(re.findall("[0-9]", m[0])) >= 4]
+        tokens = [(a + len(text[a:b]) - len(text[a:b].lstrip("_./@+-")), a + len(text[a:b].rstrip("_./@+-"))) for a, b in tokens]
+        assert [(x.start, x.end) for x in r.other] == [(a, b) for a, b in tokens if not any(c < b and a < d for c, d in base)]
+
+
+def test_very_many_spans_in_one_text(spark):
+    """A text of 5 MB with 100,000 spans."""
+    text = "é" + "some words here x@y.example.org and\n no 12345678 more 😀 " * 100_000
+    docs = spark.createDataFrame([(1, text, 1)], "doc_id long, text string, n_chars long")
+    began = time.time()
+    row = pii.redact(docs).first()
+    assert row.text == text.replace("x@y.example.org", "[EMAIL]") and row.n_chars == len(row.text)
+    assert time.time() - began < 240  # about 20 s on an idle box
