@@ -2,10 +2,14 @@
 
 ``encode_gif`` writes frames as LZW code streams; ``decode_gif`` reads any GIF87a/89a: variable-width LZW codes with clear
 and deferred clear codes, global and local palettes, interlacing, transparency and the four disposal rules. ``store`` makes
-a media table of documents, ``frames`` the table of timed frames with a 16-bin histogram per colour channel.
+a media table of documents; ``decode`` reads it back once and gives, for each row, its timed frames with a histogram of
+``BINS`` bins per colour channel of the picture as composed while the frame shows, beside digests of the samples; ``frames``
+is the same as a row per frame.
 
 Defined results: a null or empty text is 0 bytes and one block of 255s; texts of any length become as many frames as they
-need; equal texts give equal bytes; repeated rows are stored each; an empty table gives no rows; other columns are ignored.
+need; equal texts give equal bytes; repeated rows are stored each; a blob that is no whole GIF, or whose picture is larger than
+``MOST_PIXELS``, has no frames, null digests of samples and its fault in ``error``; a null blob has no frames and no fault; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_rows, materialize, read
@@ -27,6 +31,8 @@ BLOCK = SIDE * SIDE
 #: Blocks of SIDE x SIDE samples in one frame at most.
 FRAME_BLOCKS = 64
 DELAY_CS = 10
+#: Pixels of a picture that a worker composes at most; headers of damaged files can name far more.
+MOST_PIXELS = 1 << 25
 GREY = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
 BINS = 16
 
@@ -118,6 +124,8 @@ def lzw_decode(data: bytes, size: int, n_samples: int) -> bytes:
         use = int(stops[0]) if len(stops) else n
         run = codes[:use].tolist()
         if previous is None and run:
+            if run[0] >= clear:
+                raise ValueError("broken LZW stream")
             previous = base[run[0]]
             out.append(previous)
             del run[0]
@@ -168,7 +176,14 @@ def encode_gif(frames: list[np.ndarray], palette: np.ndarray = GREY, delay_cs: i
 
 
 def decode_gif(data: bytes, render: bool = True) -> list[Frame]:
-    """The frames of a GIF; with ``render``, also the picture as composed by palettes, transparency and disposal."""
+    """The frames of a GIF; with ``render``, also the picture as composed by palettes, transparency and disposal. ValueError if it is none."""
+    try:
+        return _decode(data, render)
+    except (IndexError, OverflowError) as broken:
+        raise ValueError("the GIF ends early or is damaged") from broken
+
+
+def _decode(data: bytes, render: bool) -> list[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     u16 = lambda i: int.from_bytes(data[i : i + 2], "little")
@@ -192,10 +207,12 @@ def decode_gif(data: bytes, render: bool = True) -> list[Frame]:
         at += 1
         return b"".join(parts)
 
+    if width * height > MOST_PIXELS:
+        raise ValueError(f"a picture of {width} x {height} pixels; at most {MOST_PIXELS} are composed")
     shared, frames = colours(flags), []
     canvas = np.zeros((height, width, 4), np.uint8) if render else None
     delay, disposal, transparent = 0, 0, None
-    while at < len(data) and data[at] != 0x3B:
+    while data[at] != 0x3B:
         if data[at] == 0x21:
             kind, at = data[at + 1], at + 2
             body = blocks()
@@ -210,6 +227,8 @@ def decode_gif(data: bytes, render: bool = True) -> list[Frame]:
         palette = shared if palette is None else palette
         palette = GREY if palette is None else palette
         size, at = data[at], at + 1
+        if not 1 <= size <= 8 or w * h > MOST_PIXELS:
+            raise ValueError(f"a frame of {w} x {h} samples of {size} bits")
         samples = np.frombuffer(lzw_decode(blocks(), size, w * h).ljust(w * h, b"\0"), np.uint8).reshape(h, w)
         if local & 0x40:
             rows = np.concatenate([np.arange(start, h, step) for start, step in ((0, 8), (4, 8), (2, 4), (1, 2))])
@@ -221,8 +240,12 @@ def decode_gif(data: bytes, render: bool = True) -> list[Frame]:
             before = canvas.copy() if disposal == 3 else None
             area = canvas[top : top + h, left : left + w]
             seen = samples[: area.shape[0], : area.shape[1]]
-            opaque = seen != transparent if transparent is not None else np.ones(seen.shape, bool)
-            area[opaque] = np.concatenate((palette[np.minimum(seen[opaque], len(palette) - 1)], np.full((int(opaque.sum()), 1), 255, np.uint8)), axis=1)
+            colour = palette[seen if len(palette) == 256 else np.minimum(seen, len(palette) - 1)]
+            if transparent is None:
+                area[..., :3], area[..., 3] = colour, 255
+            else:
+                opaque = seen != transparent
+                area[opaque, :3], area[opaque, 3] = colour[opaque], 255
             shown = canvas.copy()
             if disposal == 2:
                 area[:] = 0
@@ -233,21 +256,12 @@ def decode_gif(data: bytes, render: bool = True) -> list[Frame]:
     return frames
 
 
-def drawn_histogram(frames: list[Frame]) -> np.ndarray:
-    """Counts of the colours that the frames draw: BINS bins for each of red, green and blue."""
-    total = np.zeros((3, BINS), np.int64)
-    for f in frames:
-        counts = np.bincount(f.indices.ravel(), minlength=256)
-        if f.transparent is not None:
-            counts[f.transparent] = 0
-        colours = f.palette[np.minimum(np.arange(256), len(f.palette) - 1)]
-        for channel in range(3):
-            total[channel] += np.bincount(colours[:, channel] // (256 // BINS), counts, BINS).astype(np.int64)
-    return total
-
-
 def canvas_histogram(canvas: np.ndarray) -> np.ndarray:
-    seen = canvas[canvas[..., 3] > 0]
+    """Pixels of a composed picture by colour: BINS bins for each of red, green and blue; what is transparent doesn't count."""
+    if canvas[..., 3].all():
+        seen = canvas.reshape(-1, 4)
+    else:
+        seen = canvas[canvas[..., 3] > 0]
     return np.stack([np.bincount(seen[:, c] // (256 // BINS), minlength=BINS) for c in range(3)])
 
 
@@ -273,46 +287,61 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return map_rows(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string").cast("binary")), encode, f"{id_col} long, n_bytes long, media binary")
 
 
-def frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """A row per frame: its number, times and size, and the histogram of the picture while it shows."""
+_FRAME = pa.struct([("frame", pa.int32()), ("start_cs", pa.int64()), ("delay_cs", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), *((c, pa.list_(pa.int64())) for c in ("red", "green", "blue"))])
+_FRAMES = "frames array<struct<frame:int,start_cs:bigint,delay_cs:int,width:int,height:int,red:array<bigint>,green:array<bigint>,blue:array<bigint>>>"
+_DECODED = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, error string"
+_DECODED_TYPES = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(_FRAME))
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, start = {k: [] for k in ("id", "frame", "start_cs", "delay_cs", "width", "height", "red", "green", "blue")}, 0
-            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                start = 0
-                for i, f in enumerate(decode_gif(data) if data else []):
-                    hist = canvas_histogram(f.canvas).tolist()
-                    for name, value in zip(found, (key, i, start, f.delay_cs, f.canvas.shape[1], f.canvas.shape[0], *hist), strict=True):
-                        found[name].append(value)
-                    start += f.delay_cs
-            yield pa.RecordBatch.from_arrays([pa.array(found["id"], pa.int64()), *(pa.array(found[k], pa.int32()) for k in ("frame", "start_cs", "delay_cs", "width", "height")), *(pa.array(found[k], pa.list_(pa.int64())) for k in ("red", "green", "blue"))], names=[id_col, *list(found)[1:]])
 
-    histograms = ", ".join(f"{c} array<long>" for c in ("red", "green", "blue"))
-    return map_rows(media.select(F.col(id_col).cast("long"), media_col), rows, f"{id_col} long, frame int, start_cs int, delay_cs int, width int, height int, {histograms}")
+def decoded(data: bytes | None) -> tuple:
+    """What a blob decodes to: digests of the samples that its frames draw and of the blob, its fault, its timed frames."""
+    if data is None:
+        return (None, None, None, None, None, None, [])
+    own = (len(data), hashlib.sha256(data).hexdigest())
+    try:
+        shown = decode_gif(data)
+    except ValueError as fault:
+        return (None, None, None, *own, str(fault), [])
+    payload, start, rows = b"".join(f.indices.tobytes() for f in shown), 0, []
+    for i, f in enumerate(shown):
+        red, green, blue = canvas_histogram(f.canvas).tolist()
+        rows.append({"frame": i, "start_cs": start, "delay_cs": f.delay_cs, "width": f.canvas.shape[1], "height": f.canvas.shape[0], "red": red, "green": green, "blue": blue})
+        start += f.delay_cs
+    return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *own, None, rows)
 
 
-def read_back(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """What the stored bytes decode to, as digests, with the colour histogram as ``feature``."""
+def decode(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row per blob: the columns ``keep``, digests of its samples, and its timed frames with the histograms of the composed picture."""
+    n = 1 + len(keep)
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for data in batch.column(2).to_pylist():
-                shown = decode_gif(data, render=False)
-                payload = b"".join(f.indices.tobytes() for f in shown)
-                hist = ";".join(f"{c}=" + ",".join(map(str, h)) for c, h in zip("rgb", drawn_histogram(shown).tolist(), strict=True))
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), f"frames={len(shown)};{hist}"))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=[id_col, "n_bytes", *_BACK])
+            columns = list(zip(*map(decoded, batch.column(n).to_pylist()), strict=True)) or [()] * len(_DECODED_TYPES)
+            made = [pa.array(c, t) for c, t in zip(columns, _DECODED_TYPES, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names=[id_col, *keep, *_DECODED_NAMES])
+
+    schema = ", ".join([f"{id_col} long", *(f"{c} {media.schema[c].dataType.simpleString()}" for c in keep), _DECODED, _FRAMES])
+    return map_rows(media.select(F.col(id_col).cast("long"), *keep, media_col), run, schema)
+
+
+_DECODED_NAMES = [*(x.split()[0] for x in _DECODED.split(", ")), "frames"]
+
 
-    schema = f"{id_col} long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return map_rows(media.select(id_col, "n_bytes", "media"), decode, schema)
+def frames(decoded_media: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The table of timed frames: a row for each, with its number, times, size and colour histograms."""
+    return decoded_media.select(id_col, F.explode("frames").alias("f")).select(id_col, "f.*")
 
 
-_BACK = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+def feature(listed: Column) -> Column:
+    """Timed frames as a string: their number, the time that they take, and the pixels by colour, each frame's picture added."""
+    zero = F.array_repeat(F.lit(0).cast("long"), BINS)
+    total = lambda c: F.aggregate(listed, zero, lambda s, f: F.zip_with(s, f[c], lambda a, b: a + b))
+    bins = [F.concat(F.lit(f";{c[0]}="), F.array_join(total(c).cast("array<string>"), ",")) for c in ("red", "green", "blue")]
+    time = F.aggregate(listed, F.lit(0).cast("long"), lambda s, f: s + f["delay_cs"])
+    return F.concat(F.lit("frames="), F.size(listed).cast("string"), F.lit(";cs="), time.cast("string"), *bins)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_back(materialize(store(read(spark, sf_dir, "documents").select("doc_id", "text")), "gif"))
+    media = materialize(store(read(spark, sf_dir, "documents").select("doc_id", "text")), "gif")
+    stored = materialize(decode(media, keep=("n_bytes",)), "gif-frames")
+    return stored.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature(F.col("frames")).alias("feature"))
