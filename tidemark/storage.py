@@ -2,22 +2,75 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a file of a narrow table.
+FILE_ROWS = 100_000
+
+_LISTED: ContextVar[list[str] | None] = ContextVar("tables", default=None)
+
+
+def one_machine(spark: SparkSession) -> bool:
+    """Whether all tasks run in the driver's own process, so that its local folders are theirs."""
+    return bool(re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master))
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; our own only where it is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tidemark-checkpoints").rstrip("/")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. A folder of our own stands in where the session
+    names none and all tasks run on this machine; elsewhere executors would write to disks of their own, so it is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not one_machine(spark):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or f"{tempfile.gettempdir()}/tidemark-checkpoints").rstrip("/")
+
+
+@contextmanager
+def tables() -> Iterator[list[str]]:
+    """Lists the tables that are written inside the block by this thread, oldest first."""
+    found: list[str] = []
+    token = _LISTED.set(found)
+    try:
+        yield found
+    finally:
+        _LISTED.reset(token)
+
+
+def new_path(spark: SparkSession, name: str, listed: bool = True) -> str:
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if listed and (found := _LISTED.get()) is not None:
+        found.append(path)
+    return path
+
+
+def materialize(df: DataFrame, name: str, codec: str = "zstd", rows: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read again: cuts lineage, survives lost executors, stays columnar. Where a bound
+    of its ``rows`` is known, so many files as they fill are written, not one for each partition of a shuffle.
+
+    All tables lie in ``<spark.checkpoint.dir>/<application id>/``, which may go when the application ends.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df = df if rows is None else df.coalesce(rows // FILE_ROWS + 1)
+    df.write.option("compression", codec).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+def drop_tables(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete tables that no frame in use reads."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends there, and a lost executor loses nothing."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def keep_only(result: DataFrame, written: list[str]) -> DataFrame:
+    """``result``, after those of the tables in ``written`` are gone that it doesn't read."""
+    read = {f.split("/")[-2] for f in result.inputFiles()} if written else set()
+    drop_tables(result.sparkSession, [p for p in written if p.split("/")[-1] not in read])
+    return result
