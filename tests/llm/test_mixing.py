@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import math
 import random
 
@@ -78,3 +79,30 @@ def test_edges(spark):
     assert again == sorted(map(tuple, got), key=str)
     assert mixing.take(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
     assert mixing.take(docs.where("size(split(text, ' ')) < 2")).where("taken > 0").count() == 0
+
+
+def test_cut_is_bounded_whatever_the_weights(spark):
+    """Sources of low weights, of one id, and of rows all alike: no more rows are sorted than ``held``, and the cut is that of a plain sort."""
+    rows = [(i, "#" * 30 + f" w{i % 5}" * (1 + i % 3), "low") for i in range(3000)] + [(None, f"text {i}", "same id") for i in range(3000)] + [(7, "equal rows", "alike")] * 3000
+    rows += [(i, "plain words", "even") for i in range(10, 3010)] + [(1, "one", "tiny"), (2, "two words", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    made = mixing.materialize(docs.select(*mixing.sizes(docs, "doc_id", "text", "source")), "t")
+    goals = made.groupBy("source").agg((mixing.F.sum("size") * 0.8).cast("long").alias("rest"))
+    at = mixing.narrowed(made, goals, held=16)
+    left = made.where("size > 0").join(at, mixing.F.col("source").eqNullSafe(mixing.F.col("of")) & mixing.F.col("at").between(mixing.F.col("low"), mixing.F.col("high")))
+    sorted_rows = {r.of: (r.n, r.m) for r in left.groupBy("of").agg(mixing.F.count("*").alias("n"), mixing.F.countDistinct("at").alias("m")).collect()}
+    assert len(sorted_rows) == 5 and all(n <= 16 or m == 1 for n, m in sorted_rows.values())
+    planned = {r.source: r for r in mixing.plan(made, held=16).collect()}
+    for source, p in planned.items():
+        own = sorted((tuple(r.at), r.size) for r in made.where(mixing.F.col("source").eqNullSafe(mixing.F.lit(source))).collect())
+        rest = math.floor(p.target - p.epochs * p.source_size + 0.5)
+        if not rest:
+            assert p.cut_at is None
+            continue
+        before = 0
+        for at_, group in itertools.groupby(own, key=lambda x: x[0]):
+            sizes = [s for _, s in group]
+            if before < rest <= before + sum(sizes):
+                assert tuple(p.cut_at) == at_ and p.cut_words == (rest - before) // len(sizes)
+            before += sum(sizes)
+

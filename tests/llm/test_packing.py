@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from tokenizers import Tokenizer
 
 from tidemark.llm import packing
@@ -43,6 +44,41 @@ def test_bound_and_packing_against_search():
     assert packing.lower_bound(np.full(100, 3), 10) == 34
 
 
+def certificates(rows, capacity):
+    """Each partition's number of bins is what it has, and no less than the bound that comes with it; that one is no more than any bound of its pieces allows."""
+    parts = {}
+    for x in rows:
+        parts.setdefault(x.partition, []).append(x)
+    for own in parts.values():
+        bins, bound = {x.bins for x in own}, {x.bound for x in own}
+        assert bins == {len({x.sequence_id for x in own})} and len(bound) == 1 and bound <= {*range(1 + min(bins))}
+        volume = -(-sum(x.length for x in own) // capacity)
+        assert min(bins) >= max(min(bound), volume)
+        if len(own) < 9:
+            assert min(bound) <= brute_bins([x.length for x in own], capacity)
+    return parts
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_exchange_between_partitions(spark, seed):
+    """Small partitions leave gaps; rounds save bins, and certificates stay true."""
+    r = random.Random(seed)
+    lengths = [r.choice([r.randint(1, 20), r.randint(7, 12)]) for _ in range(400)]
+    pieces = spark.createDataFrame([(i, i, 0, 0, n, 0) for i, n in enumerate(lengths)], packing.PIECES)
+    rows = packing.pack(packing.materialize(pieces, "t"), 20, per_partition=40).collect()
+    assert sorted(x.uid for x in rows) == list(range(400))
+    fill = {}
+    for x in rows:
+        fill.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    for inside in fill.values():
+        inside.sort()
+        assert [o for o, _ in inside] == [0, *itertools.accumulate(n for _, n in inside)][:-1] and sum(n for _, n in inside) <= 20
+    certificates(rows, 20)
+    alone = sum(packing.best_fit_decreasing(np.array(lengths[i : i + 40]), 20)[2] for i in range(0, 400, 40))
+    bound = packing.lower_bound(np.array(lengths), 20)
+    assert bound <= len(fill) < alone
+
+
 def test_ids_equal_those_of_the_tokenizer():
     exact = Tokenizer.from_file(packing.TOKENIZER)
     texts = ["", "Hello  world's\n\n x1234", "é" * 50 + " ß  x", "日本語 emoji 😀", "<|endoftext|> a", " " * 3000 + "b", "a" * 5000, "'S don't \t\r\n  end ", "́x​ y　z", "“quoted” — …"]
@@ -72,4 +108,5 @@ def test_pieces_and_sequences(spark):
         assert [o for o, _ in inside] == [0, *itertools.accumulate(n for _, n in inside)][:-1] and sum(n for _, n in inside) <= 2048
     bound = packing.lower_bound(np.array([x.length for x in rows]))
     assert bound <= len(seen) <= bound + 3
+    certificates(rows, 2048)
     assert packing.pack_documents(docs.limit(0)).count() == 0

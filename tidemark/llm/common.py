@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.storage import drop_tables, keep_only, materialize, new_path, tables  # noqa: F401
 from tidemark.workers import importable
 
 #: ASCII white space: a word of the contracts is a run of anything else.
@@ -25,59 +26,44 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; our own only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or "/tmp/tidemark-checkpoints").rstrip("/")
-
-
-#: Tables written by ``materialize``, oldest first.
-TABLES: list[str] = []
-#: Rows of a table of numbers or short strings that a join may broadcast: some tens of MB in memory.
+#: Rows and bytes of a table that a join may broadcast.
 BROADCAST_ROWS = 500_000
-#: Rows of a file of a narrow table.
-FILE_ROWS = 100_000
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str, codec: str = "zstd", rows: int | None = None) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts lineage, survives lost executors, stays columnar. Where a bound
-    of its ``rows`` is known, so many files as they fill are written, not one for each partition of a shuffle.
-
-    All tables lie in ``<spark.checkpoint.dir>/<application id>/``, which may go when the application ends.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df = df if rows is None else df.coalesce(rows // FILE_ROWS + 1)
-    df.write.option("compression", codec).parquet(path)
-    TABLES.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_tables(spark: SparkSession, paths: list[str]) -> None:
-    """Delete tables that no frame in use reads."""
-    for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        TABLES.remove(path)
+BROADCAST_BYTES = 64 << 20
 
 
 def sized(table: DataFrame, width: int = 1, rows: int | None = None) -> DataFrame:
     """A table as the other side of a join: broadcast up to ``BROADCAST_ROWS / width`` rows (``width`` for rows that take
-    more), by count and not by compressed size; beyond that, both sides are shuffled and merged, and adaptive execution splits
-    skewed keys. ``rows`` is a bound that is known; else a written table is counted."""
-    n = table.count() if rows is None else rows
-    return F.broadcast(table) if n <= BROADCAST_ROWS // width else table.hint("merge")
+    more) and ``BROADCAST_BYTES`` of strings, lists and the like, by count and not by compressed size; beyond that, both sides are
+    shuffled and merged, and adaptive execution splits skewed keys. ``rows`` is a bound that is known, of a table of numbers;
+    else a written table is counted."""
+    if rows is None:
+        n, held = table.agg(F.count("*"), F.sum(_weight(table))).first()
+    else:
+        n, held = rows, 0
+    return F.broadcast(table) if n <= BROADCAST_ROWS // width and (held or 0) <= BROADCAST_BYTES else table.hint("merge")
+
+
+def _weight(table: DataFrame) -> Column:
+    """Bytes of a row's columns without a fixed size, about."""
+    out = F.lit(0)
+    for f in table.schema.fields:
+        at = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            out += F.coalesce(F.octet_length(at), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)):
+            out += F.coalesce(F.length(F.to_json(F.struct(at))), F.lit(0))
+    return out
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session by bytes, so that long texts don't fill a worker; and let workers import us."""
+    """Bound the Arrow batches of this session by bytes, so that long texts don't fill a worker; and let workers import us. A
+    bound that the caller has set lower stays. It must hold when a lazy result runs, so it stays set."""
     importable(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = re.match(r"\d+\Z", str(spark.conf.get(key)))
+        if not now or not 0 < int(now[0]) <= most:
+            spark.conf.set(key, str(most))
 
 
 def map_rows(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str | T.StructType) -> DataFrame:

@@ -6,30 +6,36 @@ sample without replacement: every document has a uniform number u fixed by its i
 weight, and documents are taken in order of keys until the rest of the target is full; the last one gives its first words
 only, so that a source comes within a word of its target.
 
-A source may hold a third of all rows, so no source is sorted as a whole. Keys are dealt to about sqrt(rows) ranges; sums by
-source and range show in which range a source's cut lies, and only that range is sorted. The cut of a source (a key) is all
-that the documents are joined with: a row per source, broadcast only while Spark sees that it is small.
+A source may hold a third of all rows, so no source is sorted as a whole. Rows are ordered by (key, id, hash of the text). A
+source's rows are dealt to ``RANGES`` even ranges of that order; sums by range show in which one its cut lies, and that range is
+dealt again between the least and the largest row that it has, until at most ``HELD`` rows are left, or rows that are all alike;
+only those are sorted. Whatever the distribution of the keys, a round splits what it deals, since its ends fall in different
+ranges. The cut of a source is all that the documents are joined with: a row per source, broadcast only up to a counted size.
+Sources themselves are ranked by ranges, so their number isn't bound by a task either.
 
 Everything is DataFrame expressions. Defined results: a null or wordless text has size 0 and is never taken; a null source
-is a source of its own, the last; a source without words has target 0; repeated rows share one key and are taken alike (a
-cut among them is split evenly, rounded down); an empty table gives no rows; other columns stay as they are in ``mix`` and
+is a source of its own, the last; a source without words has target 0; a null id sorts as the least; ties of keys fall to the
+smaller id, then to the smaller hash of the text; repeated rows share all three and are taken alike (a cut among them is split
+evenly, rounded down); texts of any length count whole; an empty table gives no rows; other columns stay as they are in ``mix`` and
 are ignored elsewhere.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.plans.prefix import dense_numbers
+
 from .common import OWN, materialize, read, sized, words_of
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
+#: Ranges that a source's rows are dealt to in a round, and rows of a source that are sorted in one task.
+RANGES = 1024
+HELD = 4096
 
 ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -63,9 +69,9 @@ def sampling_key(doc_id: Column, weight: Column) -> Column:
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(source, source_size, weight, target) from (source, source_size), which has a row per source."""
-    by_name = W.orderBy(F.col("source").asc_nulls_last())  # a row per source: the one table that is ranked as a whole
-    ranked = sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int")))
-    ranked = materialize(ranked, "sources")
+    placed = dense_numbers(sources.withColumn(f"{OWN}none", F.col("source").isNull()), [], [f"{OWN}none", "source"], f"{OWN}place")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(f"{OWN}place", F.lit(len(weights))) + 1).cast("int"))
+    ranked = materialize(placed.withColumn("weight", weight).drop(f"{OWN}none", f"{OWN}place"), "sources")
     cap, level = F.lit(float(most)) * F.col("source_size"), None
     total = share * (ranked.agg(F.sum("source_size")).first()[0] or 0)
     while True:
@@ -80,38 +86,60 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
     return ranked.withColumn("target", F.when(F.lit(level) * F.col("weight") > cap, cap).otherwise(F.lit(level) * F.col("weight")))
 
 
-def plan(rows: DataFrame, **shares) -> DataFrame:
-    """For rows (source, size, key, tie): a row per source with its target, epochs and cut: what lies before (cut_key, cut_tie) is taken whole, and each of the rows there gives ``cut_words``."""
-    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
+def _range(at: Column, low: Column, high: Column) -> Column:
+    """Which of ``RANGES`` even ranges from low to high a row lies in, by the first of key, id and hash that the ends differ in."""
+    of = lambda x, part: x[part].cast("double")
+    share = lambda part: F.coalesce(F.try_divide(of(at, part) - of(low, part), of(high, part) - of(low, part)), F.lit(0.0))
+    level = F.when(low["key"] < high["key"], share("key")).when(low["id"] < high["id"], share("id")).when(low["hash"] < high["hash"], share("hash")).otherwise(F.lit(0.0))
+    return F.when(at == high, F.lit(RANGES - 1)).when(at == low, F.lit(0)).otherwise(F.least(F.floor(level * RANGES), F.lit(RANGES - 1))).cast("int")
+
+
+def narrowed(rows: DataFrame, goals: DataFrame, held: int = HELD) -> DataFrame:
+    """(of, rest, before, low, high): for each source, the ends of a range of at most ``held`` rows, or of rows all alike, that its cut lies in, and the words before it."""
+    ends = rows.where("size > 0").groupBy("source").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count("*").alias("n"))
+    state = goals.where("rest > 0").select(F.col("source").alias("of"), "rest").join(sized(materialize(ends, "mix-ends"), 5), F.col("of").eqNullSafe(F.col("source"))).drop("source")
+    state, done, turn = materialize(state.withColumn("before", F.lit(0).cast("long")), "mix-ranges-0"), None, 0
+    while True:
+        small = (F.col("n") <= held) | (F.col("low") == F.col("high"))
+        final, turn = state.where(small), turn + 1
+        done = final if done is None else done.unionByName(final)
+        wide = materialize(state.where(~small), f"mix-wide-{turn}")
+        if wide.isEmpty():
+            return done.drop("n")
+        inside = rows.where("size > 0").join(sized(wide, 5), F.col("source").eqNullSafe(F.col("of")) & (F.col("at") >= F.col("low")) & (F.col("at") <= F.col("high")))
+        parts = inside.withColumn("range", _range(F.col("at"), F.col("low"), F.col("high")))
+        parts = parts.groupBy("of", "rest", "before", "range").agg(F.sum("size").alias("words"), F.min("at").alias("low"), F.max("at").alias("high"), F.count("*").alias("n"))
+        upto = F.col("before") + F.sum("words").over(W.partitionBy("of").orderBy("range"))
+        parts = parts.withColumn("upto", upto).where((F.col("upto") - F.col("words") < F.col("rest")) & (F.col("rest") <= F.col("upto")))
+        state = materialize(parts.select("of", "rest", "low", "high", "n", (F.col("upto") - F.col("words")).alias("before")), f"mix-ranges-{turn}")
+
+
+def plan(rows: DataFrame, held: int = HELD, **shares) -> DataFrame:
+    """For rows (source, size, at), at being a struct of key, id and hash: a row per source with its target, epochs and cut: what lies before ``cut_at`` is taken whole, and each of the rows there gives ``cut_words``."""
+    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = targets(sources, **shares).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     goals = materialize(goals.withColumn("rest", F.floor(F.col("target") - F.col("epochs") * F.col("source_size") + F.lit(0.5)).cast("long")), "goals")
-    ranges = max(1, math.isqrt(goals.agg(F.sum("n_rows")).first()[0] or 1))
-    # A key's range: 1 - exp(-key) lies in [0, 1) and rises with the key.
-    ranged = rows.where("size > 0").withColumn("range", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * ranges).cast("long"))
-    sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("words"))
-    before = F.sum("words").over(W.partitionBy("source").orderBy("range")) - F.col("words")
-    at = sums.withColumn("before", before).join(goals.select(F.col("source").alias("of"), "rest"), F.col("source").eqNullSafe(F.col("of")))
-    at = materialize(at.where((F.col("before") < F.col("rest")) & (F.col("rest") <= F.col("before") + F.col("words"))).select("of", F.col("range").alias("at"), "before", "rest"), "cut-ranges")
-    inside = ranged.join(sized(at, 5), F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("at")))
-    groups = inside.groupBy("of", "key", "tie", "before", "rest").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
-    reached = F.col("before") + F.sum("words").over(W.partitionBy("of").orderBy("key", "tie"))
+    at = materialize(narrowed(rows, goals, held), "cut-ranges")
+    inside = rows.where("size > 0").join(sized(at, 5), F.col("source").eqNullSafe(F.col("of")) & (F.col("at") >= F.col("low")) & (F.col("at") <= F.col("high")))
+    groups = inside.groupBy("of", "at", "before", "rest").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+    reached = F.col("before") + F.sum("words").over(W.partitionBy("of").orderBy("at"))
     cut = groups.withColumn("reached", reached).where((F.col("reached") - F.col("words") < F.col("rest")) & (F.col("rest") <= F.col("reached")))
-    cut = cut.select("of", F.col("key").alias("cut_key"), F.col("tie").alias("cut_tie"), F.floor((F.col("rest") - F.col("reached") + F.col("words")) / F.col("n")).cast("long").alias("cut_words"))
-    joined = goals.join(cut, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "source_size", "target", "epochs", "cut_key", "cut_tie", "cut_words")
+    cut = cut.select("of", F.col("at").alias("cut_at"), F.floor((F.col("rest") - F.col("reached") + F.col("words")) / F.col("n")).cast("long").alias("cut_words"))
+    joined = goals.join(cut, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "source_size", "target", "epochs", "cut_at", "cut_words")
     return materialize(joined, "mix-plan")
 
 
 def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[Column]:
-    """Columns source, size, key and tie of a document."""
-    text = F.col(f"`{text_col}`")
-    tie = F.struct(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("hash"))
-    return [F.col(f"`{source_col}`").cast("string").alias("source"), F.size(words_of(text)).cast("long").alias("size"), sampling_key(F.col(f"`{id_col}`"), quality_weight(text)).alias("key"), tie.alias("tie")]
+    """Columns source, size and at, the place in the order of sampling, of a document."""
+    text, doc_id = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
+    at = F.struct(sampling_key(doc_id, quality_weight(text)).alias("key"), F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63))).alias("id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("hash"))
+    return [F.col(f"`{source_col}`").cast("string").alias("source"), F.size(words_of(text)).cast("long").alias("size"), at.alias("at")]
 
 
 def _taken(row: Column, of: Column) -> Column:
     """Words that the mix takes of a document."""
-    at, cut = F.struct(row["key"].alias("key"), row["tie"].alias("tie")), F.struct(of["cut_key"].alias("key"), of["cut_tie"].alias("tie"))
-    sampled = F.when(of["cut_key"].isNull() | (at > cut), F.lit(0)).when(at < cut, row["size"]).otherwise(F.least(row["size"], of["cut_words"]))
+    at, cut = row["at"], of["cut_at"]
+    sampled = F.when(cut.isNull() | (at > cut), F.lit(0)).when(at < cut, row["size"]).otherwise(F.least(row["size"], of["cut_words"]))
     return (of["epochs"] * row["size"] + sampled).cast("long")
 
 

@@ -4,15 +4,20 @@
 partitions of about ``PER_PARTITION`` (by a hash of the row, so equal documents spread), packs each by best-fit decreasing
 and certifies it: dual feasible functions give a lower bound of its bins, and a partition that meets its bound is final.
 Partitions with a gap then exchange documents: those in their bins that aren't full, and those in the emptiest bin of
-every partition, are pooled, dealt anew to partitions twice as large as before and packed again; a round that saves no
-bin is undone. A partition's rows (numbers only) are at most
-about ``PER_PARTITION << ROUNDS``; no text and no list of tokens goes through a shuffle.
+every partition, are pooled, dealt anew to partitions twice as large as before (up to ``MOST_ROWS``) and packed again. A round
+that saves no bin is undone. Rounds go on until all bins together meet the bound of the whole table (from its counts by length),
+until nothing is left to exchange, or until a round with the largest partitions saves no more than ``WORTH`` of what it repacked. A partition's rows (numbers only) are at most about ``MOST_ROWS``; no text and no
+list of tokens goes through a shuffle.
+
+Every piece comes with its ``partition`` and that one's ``bins`` and ``bound``: where they are equal, no packing of what the
+partition has needs fewer. A partition that gave bins away keeps its certificate: taking a bin's pieces out lowers the least
+number of bins by one at most, and bins that are full are as few as can be.
 
 Token ids are those of the ``tokenizers`` file. Texts of plain Latin characters go through a faster encoder of the same
 vocabulary; all others, and those with very long runs or a special token's string, through ``tokenizers`` itself.
 
-Defined results: a null or empty text is the end token alone; repeated rows are packed each; an empty table gives no rows;
-other columns are ignored.
+Defined results: a null or empty text is the end token alone; a text of any length is encoded whole; pieces of equal length
+are packed in order of their number; repeated rows are packed each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,12 +35,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize, read
+from .common import map_rows, materialize, read, sized
 
 CAPACITY = 2048
 END = 0
 PER_PARTITION = 20000
-ROUNDS = 3
+MOST_ROWS = 1 << 18
+#: The share of the bins that a round repacks which it must save for another round of the largest partitions.
+WORTH = 0.001
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: The same vocabulary as ranks, for the faster encoder.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -123,9 +130,13 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY, most_k: int = 24) -> int:
-    """The largest bound that these dual feasible functions give: identity, the threshold family (small sizes to 0, sizes
-    that leave no room for them to 1) and the rounding family with 1..most_k steps, alone and after a threshold."""
-    counts = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity, most_k)
+
+
+def bound_of_counts(counts: np.ndarray, capacity: int = CAPACITY, most_k: int = 24) -> int:
+    """The largest bound, from how many pieces have each length, that these dual feasible functions give: identity, the threshold
+    family (small sizes to 0, sizes that leave no room for them to 1) and the rounding family with 1..most_k steps, alone and after
+    a threshold."""
     x = np.arange(capacity + 1, dtype=np.int64)
     number, volume = np.concatenate(([0], np.cumsum(counts))), np.concatenate(([0], np.cumsum(counts * x)))
     e = np.arange(0, capacity // 2 + 1)
@@ -140,44 +151,67 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY, most_k: int = 24)
     return best
 
 
-def _pack_group(capacity: int, offset_ids: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _pack_group(capacity: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("uid", kind="stable")
         lengths = rows["length"].to_numpy(np.int64)
         bins, offsets, n = best_fit_decreasing(lengths, capacity)
         fill = np.bincount(bins, lengths, n)
-        return rows.assign(sequence_id=((rows["part"].to_numpy(np.int64) + offset_ids) << 24) + bins, offset=offsets, open=fill[bins] < capacity, tail=fill[bins] == fill.min(initial=capacity), bins=np.int64(n), bound=np.int64(lower_bound(lengths, capacity)))
+        return rows.assign(sequence_id=(rows["partition"].to_numpy(np.int64) << 24) + bins, offset=offsets, fill=fill[bins].astype(np.int64), bins=np.int64(n), bound=np.int64(lower_bound(lengths, capacity)))
 
     return run
 
 
-_PACKED = PIECES + ", part long, sequence_id long, offset long, open boolean, tail boolean, bins long, bound long"
+_PACKED = PIECES + ", partition long, sequence_id long, offset long, fill long, bins long, bound long"
 
 
-def _deal(rows: DataFrame, parts: int, seed: int, offset_ids: int, capacity: int) -> DataFrame:
-    dealt = rows.select(*_PIECE_NAMES, F.pmod(F.xxhash64(F.lit(seed), "uid"), F.lit(parts)).alias("part"))
-    return materialize(dealt.groupBy("part").applyInPandas(_pack_group(capacity, offset_ids), _PACKED), f"packed-{seed}")
+def _deal(rows: DataFrame, parts: int, turn: int, first: int, capacity: int) -> DataFrame:
+    """Rows dealt to ``parts`` partitions, numbered from ``first``, and packed."""
+    dealt = rows.select(*_PIECE_NAMES, (F.pmod(F.xxhash64(F.lit(turn), "uid"), F.lit(parts)) + first).alias("partition"))
+    return materialize(dealt.groupBy("partition").applyInPandas(_pack_group(capacity), _PACKED), f"packed-{turn}")
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PARTITION, rounds: int = ROUNDS) -> DataFrame:
-    """Pieces with ``sequence_id`` and ``offset``; pieces of full capacity are sequences of their own (negative numbers)."""
+def least_bins(pieces: DataFrame, capacity: int = CAPACITY) -> int:
+    """The bound of a whole table, from one row per length."""
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in pieces.groupBy("length").count().collect():
+        counts[r["length"]] = r["count"]
+    return bound_of_counts(counts, capacity)
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PARTITION) -> DataFrame:
+    """Pieces with ``sequence_id`` and ``offset``, and their partition's certificate; pieces of full capacity are sequences, and partitions, of their own (negative numbers)."""
     short = pieces.where(F.col("length") < capacity)
-    parts = max(1, -(-short.count() // per_partition))
-    current, next_id = _deal(short, parts, 0, 0, capacity), parts
-    for turn in range(1, rounds + 1):
-        given = F.col("open") & ((F.col("bins") > F.col("bound")) | F.col("tail"))
-        pool = current.where(given)
-        state = pool.groupBy("part", "sequence_id").count().agg(F.countDistinct("part").alias("parts"), F.sum("count").alias("rows"), F.count("*").alias("bins")).first()
+    parts, least = max(1, -(-short.count() // per_partition)), least_bins(short, capacity)
+    current, next_id, turn = _deal(short, parts, 0, 0, capacity), parts, 0
+    total = current.select("partition", "bins").distinct().agg(F.sum("bins")).first()[0] or 0
+    while total > least:
+        turn += 1
+        gap = F.col("bins") > F.col("bound")
+        emptiest = materialize(current.where(F.col("fill") < capacity).groupBy("partition").agg(F.min("fill").alias("least")), f"emptiest-{turn}")
+        marked = current.join(sized(emptiest, rows=next_id), "partition", "left")
+        given = F.coalesce((F.col("fill") < capacity) & (gap | (F.col("fill") == F.col("least"))), F.lit(False))
+        pool = materialize(marked.where(given).drop("least"), f"pool-{turn}")
+        lost = materialize(pool.groupBy("partition").agg(F.countDistinct("sequence_id").alias("lost"), F.count("*").alias("rows")), f"lost-{turn}")
+        state = lost.agg(F.count("*").alias("parts"), F.sum("lost").alias("bins"), F.sum("rows").alias("rows")).first()
         if state["parts"] < 2:
             break
-        parts = max(1, -(-state["rows"] // (per_partition << turn)))
+        parts = max(1, -(-state["rows"] // min(MOST_ROWS, per_partition << turn)))
         again = _deal(pool, parts, turn, next_id, capacity)
-        if again.select("sequence_id").distinct().count() >= state["bins"]:
+        saved = state["bins"] - again.select("partition", "bins").distinct().agg(F.sum("bins")).first()[0]
+        if saved <= WORTH * state["bins"] and (parts == 1 or per_partition << turn >= MOST_ROWS):
+            break
+        if saved <= 0:
             continue
-        next_id += parts
-        current = materialize(current.where(~given).withColumn("bound", F.col("bins")).withColumn("tail", F.lit(False)).unionByName(again), f"packed-all-{turn}")
-    whole = pieces.where(F.col("length") >= capacity).select(*_PIECE_NAMES, (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return whole.unionByName(current.select(*_PIECE_NAMES, "sequence_id", "offset"))
+        next_id, total = next_id + parts, total - saved
+        kept = marked.where(~given).drop("least").join(sized(lost.select("partition", "lost"), rows=next_id), "partition", "left")
+        left = F.col("bins") - F.coalesce("lost", F.lit(0))
+        # Where a gap was, all that isn't full was given, and full bins are as few as can be.
+        kept = kept.withColumn("bound", F.when(gap, left).otherwise(F.col("bound") - F.coalesce("lost", F.lit(0)))).withColumn("bins", left).drop("lost")
+        current = materialize(kept.unionByName(again), f"packed-all-{turn}")
+    one, own = F.lit(1).cast("long"), (-1 - F.col("uid"))
+    whole = pieces.where(F.col("length") >= capacity).select(*_PIECE_NAMES, own.alias("sequence_id"), F.lit(0).cast("long").alias("offset"), own.alias("partition"), one.alias("bins"), one.alias("bound"))
+    return whole.unionByName(current.select(*_PIECE_NAMES, "sequence_id", "offset", "partition", "bins", "bound"))
 
 
 def pack_documents(docs: DataFrame, **columns) -> DataFrame:

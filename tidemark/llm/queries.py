@@ -7,6 +7,10 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import keep_only, tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+
 MODULES: dict[str, str] = {
     "op1_warc_revisits": "warc",
     "op2_quality_rules": "quality_rules",
@@ -21,8 +25,18 @@ MODULES: dict[str, str] = {
 }
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: import_module(f"tidemark.llm.{module}").query for name, module in MODULES.items()}
+def tidy(query: Query) -> Query:
+    """The query, dropping the tables that it has written and its result doesn't read."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with tables() as written:
+            return keep_only(query(spark, sf_dir), written)
+
+    return run
+
+
+def queries() -> dict[str, Query]:
+    return {name: tidy(import_module(f"tidemark.llm.{module}").query) for name, module in MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

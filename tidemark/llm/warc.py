@@ -262,6 +262,6 @@ def deduplicate(pages: DataFrame, directory: str, min_bytes: int = 0, **columns:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    directory = new_path(spark, "warc")
+    directory = new_path(spark, "warc", listed=False)  # read by tasks, not as a table
     files = deduplicate(read(spark, sf_dir, "pages"), directory)
     return read_archives(files, f"{directory}/deduplicated", payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
