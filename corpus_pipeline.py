@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import mixing, near_copies, packing, pii, quality_rules
-from tidemark.llm.common import TABLES, drop_tables, materialize, read
+from tidemark.llm.common import drop_tables, keep_only, materialize, read, tables
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +54,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of ``documents``. A stage's own tables, and its input, go once its output is written."""
     docs, done = read(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        mark = len(TABLES)
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-        done, used = [TABLES[-1]], done + TABLES[mark:-1]
-        drop_tables(spark, used)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with tables() as written:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_tables(spark, done + written[:-1])
+        done = written[-1:]
+    with tables() as written:
+        return keep_only(STAGES[-1][1](spark, docs, sf_dir), done + written)
