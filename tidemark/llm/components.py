@@ -1,4 +1,8 @@
-"""Connected components of links by label hooking and pointer jumping, in joins and aggregates only."""
+"""Connected components of links by label hooking and pointer jumping, in joins and aggregates only.
+
+Defined results: links may come in either direction and more than once; a link of a node with itself, or with null, is none; no
+links give no rows; columns other than the two are ignored.
+"""
 
 from __future__ import annotations
 

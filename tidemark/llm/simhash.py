@@ -7,12 +7,13 @@ with each of its bits as a wildcard: equality of such a key, then a check of all
 Documents with one fingerprint are a class, and only classes are indexed. Keys are shuffled once and sorted; a task
 streams over its keys and gives, for the classes under a key, a spanning forest of the links among them, not all pairs.
 Small groups are compared directly, larger ones by looking up each of the masks of at most two bits (linear in the
-group). A group beyond ``HELD`` classes is not held: its members go, in a second shuffle, to keys that split the other
-half in the same way, whose groups can't be larger than 2^17 classes by their number of free bits. Components of the
-links give each document the smallest id that it is connected with.
+group). No key of more than ``HELD`` classes goes to a task: classes are counted by half first (a wildcard key has the classes of
+two halves), and members of crowded keys go to keys that split the other half in the same way, whose groups can't be larger than
+2^17 classes by their number of free bits. Components of the links give each document the smallest id that it is connected with.
 
 Defined results: a null text, or one without a word, has fingerprint zero and links like any other; fewer than three
-words are one shingle; repeated rows are one class; a null id never names a component that has another id; an empty table
+words are one shingle; texts of any length are hashed whole, in parts; of a tie of ones and zeros a bit is 0; repeated rows are
+one class; a null id never names a component that has another id; an empty table
 gives no rows; other columns are ignored.
 """
 
@@ -131,57 +132,38 @@ def link_group(fps: np.ndarray, must: int, free: list[int]) -> tuple[np.ndarray,
     return fps[joined], fps[label[joined]]
 
 
-def groups(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[tuple[list[np.ndarray], np.ndarray | None]]:
-    """Runs of equal leading columns in sorted batches, as (columns, starts of whole runs). A run beyond ``held`` rows is passed on in parts, with None for starts."""
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Runs of equal leading columns in sorted batches, as (columns, starts of whole runs)."""
     rest: list[np.ndarray] | None = None
-    over: tuple | None = None
     for batch in batches:
         columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if rest is not None:
             columns = [np.concatenate((a, b)) for a, b in zip(rest, columns, strict=True)]
-        n = len(columns[0])
-        if not n:
+        if not len(columns[0]):
             continue
-        new = np.ones(n, bool)
-        new[1:] = False
+        new = np.zeros(len(columns[0]), bool)
+        new[0] = True
         for c in columns[:-1]:
             new[1:] |= c[1:] != c[:-1]
         starts = np.flatnonzero(new)
-        begin = 0
-        if over is not None and tuple(c[0] for c in columns[:-1]) == over:
-            end = int(starts[1]) if len(starts) > 1 else n
-            yield [c[:end] for c in columns], None
-            if end == n:
-                rest = None
-                continue
-            begin = 1
-        over = None
-        first, last = int(starts[begin]), int(starts[-1])
-        if last > first:
-            yield [c[first:last] for c in columns], starts[begin:-1] - first
+        last = int(starts[-1])
+        if last:
+            yield [c[:last] for c in columns], starts[:-1]
         rest = [c[last:] for c in columns]
-        if len(rest[0]) > held:
-            over = tuple(c[0] for c in rest[:-1])
-            yield rest, None
-            rest = None
     if rest is not None:
         yield rest, np.zeros(1, np.int64)
 
 
-def _rows(kind: int, key, a, b) -> pa.RecordBatch:
-    n = len(a)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind), pa.int8()), pa.array(np.broadcast_to(key, n), pa.int64()), pa.array(a.view(np.int64), pa.int64()), pa.array(b.view(np.int64), pa.int64())], names=["kind", "key", "a", "b"])
+def _rows(a, b) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64), pa.int64()), pa.array(b.view(np.int64), pa.int64())], names=["a", "b"])
 
 
-def link_keys(index: DataFrame, held: int = HELD) -> DataFrame:
-    """Rows of kind 0, links (a, b), and of kind 1, members ``a`` of a key that has more than ``held``."""
+def link_keys(index: DataFrame) -> DataFrame:
+    """Links (a, b) among the classes under each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, fp), starts in groups(batches, held):
+        for (key, fp), starts in groups(batches):
             fp = fp.astype(np.int64).view(np.uint64)
-            if starts is None:
-                yield _rows(1, key, fp, fp)
-                continue
             sizes = np.diff(np.append(starts, len(key)))
             two = starts[sizes == 2]
             if len(two):
@@ -189,28 +171,37 @@ def link_keys(index: DataFrame, held: int = HELD) -> DataFrame:
                 xor = a ^ b
                 must = np.where(k < 2, 0, np.left_shift(np.uint64(1), np.maximum(k - 2, 0).astype(np.uint64)))
                 near = (np.bitwise_count(xor) <= DISTANCE) & ((must == 0) | ((xor & must) != 0))
-                yield _rows(0, key[two][near], a[near], b[near])
+                yield _rows(a[near], b[near])
             for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
                 k = int(key[start])
                 a, b = link_group(fp[start : start + size], must_differ(k), free_bits(k))
                 if len(a):
-                    yield _rows(0, k, a, b)
+                    yield _rows(a, b)
 
-    return map_rows(index.repartition("key").sortWithinPartitions("key", "fp"), run, "kind byte, key long, a long, b long")
+    return map_rows(index.repartition("key").sortWithinPartitions("key", "fp"), run, "a long, b long")
+
+
+def crowded_keys(classes: DataFrame, held: int) -> DataFrame:
+    """Keys that may have more than ``held`` classes: those of halves with over half as many, whole and with each wildcard."""
+    halves = (F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32))
+    sides = F.explode(F.array(*[F.struct(F.lit(h).alias("side"), half.alias("half")) for h, half in enumerate(halves)])).alias("x")
+    many = classes.select(sides).groupBy("x.side", "x.half").count().where(F.col("count") > held // 2)
+    of = lambda h: [F.lit(h << 32).bitwiseOR(F.col("half")), *(F.lit((2 + 32 * h + bit) << 32).bitwiseOR(F.col("half").bitwiseAND(F.lit(0xFFFFFFFF ^ 1 << bit))) for bit in range(32))]
+    return many.select(F.explode(F.when(F.col("side") == 0, F.array(*of(0))).otherwise(F.array(*of(1)))).alias("key")).distinct()
 
 
 def link_crowded(members: DataFrame) -> DataFrame:
     """Links among the members of crowded keys: the other half is cut in two quarters and indexed like the halves, so a group has 17 free bits at most."""
     variant = F.shiftrightunsigned("key", 32)
     half = F.when(variant < 2, variant).otherwise(F.floor((variant - 2) / 32))
-    other = F.when(half == 0, F.shiftrightunsigned("a", 32)).otherwise(F.col("a").bitwiseAND(F.lit(0xFFFFFFFF)))
+    other = F.when(half == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
     quarters = (F.col("other").bitwiseAND(F.lit(0xFFFF)), F.shiftrightunsigned("other", 16))
     subkeys = [F.lit(q << 16).bitwiseOR(x) for q, x in enumerate(quarters)]
     subkeys += [F.lit((2 + 16 * q + bit) << 16).bitwiseOR(x.bitwiseAND(F.lit(0xFFFF ^ 1 << bit))) for q, x in enumerate(quarters) for bit in range(16)]
-    index = members.select("key", F.col("a").alias("fp"), other.alias("other")).select("key", F.explode(F.array(*subkeys)).alias("sub"), "fp")
+    index = members.select("key", "fp", other.alias("other")).select("key", F.explode(F.array(*subkeys)).alias("sub"), "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, sub, fp), starts in groups(batches, 1 << 62):
+        for (key, sub, fp), starts in groups(batches):
             fp = fp.astype(np.int64).view(np.uint64)
             sizes = np.diff(np.append(starts, len(key)))
             for start, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
@@ -219,15 +210,18 @@ def link_crowded(members: DataFrame) -> DataFrame:
                 free = [x for i, x in enumerate(free) if i // 16 != quarter] + ([free[16 * quarter + (s - 2) % 16]] if s >= 2 else [])
                 a, b = link_group(fp[start : start + size], must_differ(k), free)
                 if len(a):
-                    yield _rows(0, k, a, b)
+                    yield _rows(a, b)
 
-    return map_rows(index.repartition("key", "sub").sortWithinPartitions("key", "sub", "fp"), run, "kind byte, key long, a long, b long")
+    return map_rows(index.repartition("key", "sub").sortWithinPartitions("key", "sub", "fp"), run, "a long, b long")
 
 
 def links(classes: DataFrame, held: int = HELD) -> DataFrame:
     """Links (a, b) among distinct fingerprints ``fp`` that connect just those that links of two bits or fewer connect."""
-    found = materialize(link_keys(keys(classes.select("fp")), held), "simhash-links")
-    return found.where("kind = 0").select("a", "b").unionByName(link_crowded(found.where("kind = 1")).select("a", "b"))
+    index, crowded = keys(classes.select("fp")), materialize(crowded_keys(classes, held), "simhash-crowded")
+    if crowded.isEmpty():
+        return link_keys(index)
+    mine = sized(crowded)
+    return link_keys(index.join(mine, "key", "left_anti")).unionByName(link_crowded(index.join(mine, "key", "left_semi")))
 
 
 def class_components(prints: DataFrame, id_col: str = "doc_id", held: int = HELD) -> DataFrame:

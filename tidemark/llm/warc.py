@@ -6,12 +6,14 @@ record; ``resolve`` shuffles those headers by payload digest and joins each repe
 ``read_archives`` parses archives back. Payloads never go through a shuffle: only headers do.
 
 Defined results: a null payload is an empty one; a null url leaves the target header out; a null id leaves the id
-header out and sorts after all others; rows repeated with one id keep the first stored as the response; an empty table
-gives no rows; other columns of the input are not read. A digest shared by very many records is one row of the table
-of originals, and the headers that join it are split by adaptive execution, never gathered.
+header out and sorts after all others; rows repeated with one id keep the first stored as the response; every record has an id of
+its own, made from the archive and the place that it was first written to; payloads of any length are one record, read and
+written whole by the task that has them; an empty table gives no rows; other columns of the input are not read. A digest shared
+by very many records is one row of the table of originals, and the headers that join it are split by adaptive execution, never
+gathered.
 
 Archives are written by the executors under ``directory`` (the shared folder), each under a temporary name first and
-then moved, so a task that runs again replaces the same file by the same bytes.
+then moved, so a task that runs again replaces the same file by the same bytes. They are read from front to back, once.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize, new_path, read, sized
+from .common import drop_tables, map_rows, materialize, new_path, read, sized
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -53,8 +55,9 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None, url: str | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}|{url}')}>"
+def record_id(file: str, offset: int) -> str:
+    """Of the record that was first written to a place of an archive."""
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{file}|{offset}')}>"
 
 
 def _field(name: str, value: object) -> str:
@@ -62,21 +65,21 @@ def _field(name: str, value: object) -> str:
     return "" if value is None else name + ": " + re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", str(value)) + "\r\n"
 
 
-def encode(page_id: int | None, url: str | None, payload: bytes, digest: str, level: int = 1) -> bytes:
+def encode(own_id: str, page_id: int | None, url: str | None, payload: bytes, digest: str, level: int = 1) -> bytes:
     """A response record as a gzip member."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     head = (
-        "WARC/1.1\r\nWARC-Type: response\r\n" + _field("WARC-Record-ID", record_id(page_id, url)) + _field("WARC-Date", DATE) + _field("WARC-Target-URI", url)
+        "WARC/1.1\r\nWARC-Type: response\r\n" + _field("WARC-Record-ID", own_id) + _field("WARC-Date", DATE) + _field("WARC-Target-URI", url)
         + _field("WARC-Payload-Digest", f"sha1:{digest}") + _field("X-Page-ID", page_id) + f"Content-Type: application/http;msgtype=response\r\nContent-Length: {len(http) + len(payload)}\r\n\r\n"
     )
     return _gzip(head.encode() + http + payload + b"\r\n\r\n", level)
 
 
-def encode_revisit(page_id: int | None, url: str | None, n_bytes: int, digest: str, to_id: int | None, to_url: str | None, level: int = 1) -> bytes:
+def encode_revisit(own_id: str, page_id: int | None, url: str | None, n_bytes: int, digest: str, to: str, to_id: int | None, to_url: str | None, level: int = 1) -> bytes:
     """A revisit record as a gzip member: it names the original and keeps the payload's digest and length, not the payload."""
     head = (
-        "WARC/1.1\r\nWARC-Type: revisit\r\n" + _field("WARC-Record-ID", record_id(page_id, url)) + _field("WARC-Date", DATE) + _field("WARC-Target-URI", url)
-        + _field("WARC-Profile", PROFILE) + _field("WARC-Refers-To", record_id(to_id, to_url)) + _field("WARC-Refers-To-Target-URI", to_url) + _field("WARC-Refers-To-Date", DATE)
+        "WARC/1.1\r\nWARC-Type: revisit\r\n" + _field("WARC-Record-ID", own_id) + _field("WARC-Date", DATE) + _field("WARC-Target-URI", url)
+        + _field("WARC-Profile", PROFILE) + _field("WARC-Refers-To", to) + _field("WARC-Refers-To-Target-URI", to_url) + _field("WARC-Refers-To-Date", DATE)
         + _field("WARC-Payload-Digest", f"sha1:{digest}") + _field("X-Payload-Length", n_bytes) + _field("X-Page-ID", page_id) + _field("X-Refers-To-Page", to_id) + "Content-Length: 0\r\n\r\n"
     )
     return _gzip(head.encode() + b"\r\n\r\n", level)
@@ -134,6 +137,8 @@ class _Archive:
 
     def close(self) -> None:
         self.out.close()
+        if self.fs.get_file_info(self.path).type != fs.FileType.NotFound:
+            self.fs.delete_file(self.path)  # an earlier attempt's, of the same bytes; not every store's rename replaces
         self.fs.move(self.temp, self.path)
 
 
@@ -148,7 +153,7 @@ def write_archives(pages: DataFrame, directory: str, id_col: str = "page_id", ur
             for page_id, url, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 archive = archive or _Archive(directory, name)
                 payload = payload or b""
-                record = encode(page_id, url, payload, digest := digest_of(payload))
+                record = encode(record_id(name, archive.at), page_id, url, payload, digest := digest_of(payload))
                 rows.append((page_id, url, len(payload), digest, part, name, archive.add(record), len(record)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _HEADER_TYPES, strict=True)], names=_HEADER_NAMES)
@@ -164,7 +169,7 @@ _RECORD_NAMES = [x.split()[0] for x in RECORDS.split(", ")]
 
 
 def resolve(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Headers with ``record_type``, ``refers_to`` and the original's url: of equal payloads of ``min_bytes`` or more, the one with the smallest id stays a response."""
+    """Headers with ``record_type``, ``refers_to`` and the original's url and place: of equal payloads of ``min_bytes`` or more, the one with the smallest id stays a response."""
     place = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "file", "offset", "url")
     originals = (
         headers.where(F.col("payload_bytes") >= min_bytes)
@@ -180,7 +185,7 @@ def resolve(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
         *_HEADER_NAMES,
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(revisit, F.col("to_id")).alias("refers_to"),
-        F.when(revisit, F.col("to_url")).alias("to_url"),
+        *[F.when(revisit, F.col(c)).alias(c) for c in ("to_url", "to_file", "to_offset")],
     )
 
 
@@ -197,14 +202,14 @@ def rewrite_archives(resolved: DataFrame, source: str, directory: str) -> DataFr
                     if archive:
                         archive.close()
                         reading[1].close()
-                    archive, reading = _Archive(directory, row["file"]), (row["file"], store.open_input_file(f"{root}/{row['file']}"))
+                    archive, reading = _Archive(directory, row["file"]), (row["file"], store.open_input_stream(f"{root}/{row['file']}", compression=None, buffer_size=1 << 20))
                     done.append([row["part_no"], row["file"], 0])
+                stored, own = reading[1].read(row["stored"]), record_id(row["file"], row["offset"])  # rows come in order and leave no gap
                 if row["record_type"] == "revisit":
-                    record = encode_revisit(row["page_id"], row["url"], row["payload_bytes"], row["payload_digest"], row["refers_to"], row["to_url"])
+                    record = encode_revisit(own, row["page_id"], row["url"], row["payload_bytes"], row["payload_digest"], record_id(row["to_file"], row["to_offset"]), row["refers_to"], row["to_url"])
                 else:
-                    reading[1].seek(row["offset"])
-                    fields, block = parse(zlib.decompress(reading[1].read(row["stored"]), 31))
-                    record = encode(row["page_id"], row["url"], payload_of(fields, block), row["payload_digest"])
+                    fields, block = parse(zlib.decompress(stored, 31))
+                    record = encode(own, row["page_id"], row["url"], payload_of(fields, block), row["payload_digest"])
                 archive.add(record)
                 done[-1][2] += 1
         if archive:
@@ -256,9 +261,11 @@ def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def deduplicate(pages: DataFrame, directory: str, min_bytes: int = 0, **columns: str) -> DataFrame:
-    """Write ``pages`` as archives, resolve repeats, write deduplicated archives to ``<directory>/deduplicated``; returns a row per archive."""
+    """Write ``pages`` as archives, resolve repeats, write deduplicated archives to ``<directory>/deduplicated`` and drop the first ones; returns a row per archive."""
     headers = materialize(write_archives(pages, f"{directory}/raw", **columns), "warc-headers")
-    return materialize(rewrite_archives(resolve(headers, min_bytes), f"{directory}/raw", f"{directory}/deduplicated"), "warc-files")
+    files = materialize(rewrite_archives(resolve(headers, min_bytes), f"{directory}/raw", f"{directory}/deduplicated"), "warc-files")
+    drop_tables(pages.sparkSession, [f"{directory}/raw"])
+    return files
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
