@@ -2,14 +2,16 @@
 
 Base rules fail texts of under ``LEAST_WORDS`` words or with over 30 % of words in repeated 8-word windows. Of what passes,
 labelled documents give statistics: each feature is cut at quantiles (of all and of the low-quality ones), and counts by
-class and interval, aggregated by Spark over all labelled rows, are what learning sees. A rule grows by the condition of
-most FOIL gain, is pruned to the prefix that does best on a third of rows kept aside, and is accepted while it is precise
-there; then the rows it covers are set aside and the next one grows. The list is emitted as one ``CASE``.
+class and interval, aggregated by Spark over all labelled rows, are what learning sees. A rule grows by the condition of most FOIL
+gain, as long as one sets low-quality rows apart significantly (a likelihood-ratio test at ``ALPHA`` for all conditions that were
+tried together), is pruned to the prefix that does best on a third of rows kept aside, and is accepted if it is precise there.
+Then the rows it covers are set aside, accepted or not, and the next one grows, until no condition is significant: neither the
+number of rules nor that of conditions is fixed. The list is emitted as one ``CASE``.
 
 All of this is DataFrame expressions and aggregates: the driver gets a row per feature and interval at each step.
 
 Defined results: a null text is an empty one and fails; without labels (or without both classes) there is no rule and base
-rules alone decide; labels repeated for a document count once, the lowest; null labels are left out; repeated rows are
+rules alone decide; of conditions with equal gain the first feature's first cut is taken; texts of any length count whole; labels repeated for a document count once, the lowest; null labels are left out; repeated rows are
 judged each; an empty table gives no rows; other columns stay as they are in ``filter_documents`` and are ignored elsewhere.
 """
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +28,8 @@ from .common import OWN, any_of, materialize, read
 from .textstats import FEATURES, features, with_counts
 
 LEAST_WORDS = 20
-MOST_RULES = 8
-MOST_CONDITIONS = 3
+#: Chance that a condition passes the test where features tell nothing, over all conditions tried for it.
+ALPHA = 0.01
 #: What an accepted rule needs on the rows kept aside: this share of low-quality rows, and this many of them.
 PRECISION = 0.9
 COVER = 3
@@ -101,28 +104,26 @@ def learn(rows: DataFrame) -> list[Rule]:
     holds = lambda conditions: F.lit(True) if not conditions else _all([as_code(c) for c in conditions])
 
     rules: list[Rule] = []
-    rest = coded
-    while len(rules) < MOST_RULES:
+    rest, turn = coded, 0
+    while True:
         grown: list[Condition] = []
-        while len(grown) < MOST_CONDITIONS:
-            best = _best_condition(rest.where(~F.col("aside") & holds(grown)), cuts)
-            if best is None:
-                break
+        while (best := _best_condition(rest.where(~F.col("aside") & holds(grown)), cuts)) is not None:
             grown.append(best[0])
             if best[1]:
                 break
         if not grown:
-            break
+            return rules
         tests = [F.sum((holds(grown[: i + 1]) & (F.col("bad") == bad)).cast("long")).alias(f"{name}{i}") for i in range(len(grown)) for name, bad in (("p", True), ("n", False))]
         seen = rest.where("aside").agg(*tests).first()
         got = [(seen[f"p{i}"] or 0, seen[f"n{i}"] or 0) for i in range(len(grown))]
         worth = lambda i: (got[i][0] - got[i][1]) / max(1, sum(got[i]))
         keep = max(range(len(grown)), key=lambda i: (worth(i), -i))
-        if got[keep][0] < COVER or got[keep][0] < PRECISION * sum(got[keep]):
-            break
-        rules.append(Rule(grown[: keep + 1]))
-        rest = rest.where(~holds(grown[: keep + 1]))
-    return rules
+        if got[keep][0] >= COVER and got[keep][0] >= PRECISION * sum(got[keep]):
+            rules.append(Rule(grown[: keep + 1]))
+            grown = grown[: keep + 1]
+        rest, turn = rest.where(~holds(grown)), turn + 1
+        if turn % 16 == 0:
+            rest = materialize(rest, f"coded-{turn}")
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -130,7 +131,7 @@ def _all(conditions: list[Column]) -> Column:
 
 
 def _best_condition(rows: DataFrame, cuts: dict[str, list[float]]) -> tuple[Condition, bool] | None:
-    """The condition of most FOIL gain, and whether it leaves low-quality rows alone; None if none gains."""
+    """The condition of most FOIL gain among those that are significant, and whether it leaves low-quality rows alone; None if there is none."""
     cells = rows.select("bad", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("code")) for f in FEATURES])).alias("x"))
     counts: dict[str, dict[int, list[int]]] = {f: {} for f in FEATURES}
     for r in cells.groupBy("x.f", "x.code").agg(F.sum(F.col("bad").cast("long")).alias("p"), F.sum((~F.col("bad")).cast("long")).alias("n")).collect():
@@ -138,7 +139,7 @@ def _best_condition(rows: DataFrame, cuts: dict[str, list[float]]) -> tuple[Cond
     p0, n0 = (sum(x[i] for x in counts[FEATURES[0]].values()) for i in (0, 1))
     if not p0 or not n0:
         return None
-    best = None
+    best, least = None, NormalDist().inv_cdf(1 - ALPHA / 4 / max(1, sum(map(len, cuts.values())))) ** 2
     for f in FEATURES:
         below = [0, 0]
         for k, cut in enumerate(cuts[f]):
@@ -146,12 +147,20 @@ def _best_condition(rows: DataFrame, cuts: dict[str, list[float]]) -> tuple[Cond
             for above, (p, n) in ((False, below), (True, (p0 - below[0], n0 - below[1]))):
                 if p < COVER or p + n == p0 + n0:
                     continue
+                if p * (p0 + n0) <= p0 * (p + n) or _ratio(p, n, p0, n0) < least:
+                    continue
                 gain = p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0)))
                 if best is None or gain > best[0] + 1e-9:
                     best = (gain, Condition(f, above, cut), n == 0)
     return best[1:] if best and best[0] > 1e-9 else None
 
 
+def _ratio(p: int, n: int, p0: int, n0: int) -> float:
+    """The likelihood-ratio statistic of a split: how far the covered rows and the others are from the shares of all."""
+    cells = [(p, p + n, p0), (n, p + n, n0), (p0 - p, p0 + n0 - p - n, p0), (n0 - n, p0 + n0 - p - n, n0)]
+    return 2 * sum(x * math.log(x * (p0 + n0) / (rows * total)) for x, rows, total in cells if x)
+
+
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[Rule]]:
     """(id, counts struct, rule that rejects it) of every document, and the rules learned."""
     counted = materialize(with_counts(docs.select(F.col(id_col), F.col(text_col)), text_col).select(id_col, f"{OWN}counts"), "counts")
