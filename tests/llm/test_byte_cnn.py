@@ -62,3 +62,23 @@ def test_sample_keeps_small_languages(spark):
     many = spark.range(1200).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"), (F.col("id") % 600).cast("string").alias("lang"))
     assert byte_cnn.sample(many).select("lang").distinct().count() == 600
     assert byte_cnn.level([10] * 4 + [10**6] * 6) == byte_cnn.PER_LANG and byte_cnn.level([10**6] * 1000) == byte_cnn.LEAST
+
+
+def test_pooling_over_windows_against_single_windows(spark):
+    """A text's log-probabilities are the means of those of its windows, each taken as a text of its own, weighted by bytes."""
+    docs = spark.createDataFrame(make(300), "doc_id long, text string, lang string")
+    net = byte_cnn.train(docs)
+    made = byte_cnn.tables(net)
+    r = random.Random(5)
+    texts = [" ".join("".join(r.choices(SYLLABLES[r.choice(list(SYLLABLES))], k=3)) for _ in range(n)) for n in (3, 40, 90, 400)]
+    got = {x.doc_id: x for x in byte_cnn.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net).collect()}
+    for i, text in enumerate(texts):
+        data = byte_cnn.to_bytes(text)
+        total, weights = np.zeros(len(net.langs)), 0.0
+        for at in range(0, len(data), byte_cnn.WINDOW):
+            # A window sees the three bytes after it, so that no filter stops at its edge.
+            row = np.frombuffer(data[at : at + byte_cnn.WINDOW + 3].ljust(byte_cnn.WINDOW + 3, b"\0"), np.uint8)[None]
+            weight = min(byte_cnn.WINDOW, len(data) - at) / byte_cnn.WINDOW
+            total, weights = total + byte_cnn.log_probabilities(net, made, row)[0] * weight, weights + weight
+        soft = np.exp(total / weights - (total / weights).max())
+        assert got[i].lang_pred == net.langs[int(total.argmax())] and abs(got[i].score - (soft / soft.sum()).max()) < 1e-5

@@ -38,3 +38,23 @@ def test_edges(spark):
     both = spark.createDataFrame([(3, 1), (2, 0)], "doc_id long, quality int")
     scores = [r[0] for r in counted.select(q.score(counted, q.train(counted, both))).collect()]
     assert all(0 <= s <= 1 for s in scores) and scores[0] == scores[1] and scores[2] == scores[3]
+
+
+def test_fit_against_plain_descent():
+    """The weights are those that plain gradient descent on the logistic loss of the pairs comes to; the cut is the best of all levels tried."""
+    rng = np.random.default_rng(1)
+    x = rng.random((300, len(FEATURES)))
+    good = x[:, 1] + 0.3 * rng.random(300) > 0.6
+    model = q.fit(x, good, pairs=2000)
+    z = np.array([[min(max((row[FEATURES.index(name)] - knot) / scale, 0.0), 1.0) for name, knot, scale in model.knots] for row in x])
+    draw = np.random.default_rng(3)
+    better, worse = draw.choice(np.flatnonzero(good), 2000), draw.choice(np.flatnonzero(~good), 2000)
+    w = np.zeros(z.shape[1])
+    for _ in range(60_000):
+        margin = (z[better] - z[worse]) @ w
+        w -= 0.5 * (-((1 / (1 + np.exp(margin)))[:, None] * (z[better] - z[worse])).mean(axis=0) + q.RIDGE * w)
+    assert np.abs(z @ w - z @ np.array(model.weights)).max() < 0.05
+    scores = z @ np.array(model.weights)
+    told = lambda c: (scores[good] >= c).mean() + (scores[~good] < c).mean()
+    levels = [(~good).mean(), *np.linspace(0.02, 0.6, 59)]
+    assert told(model.cut) >= max(told(np.quantile(scores, level)) for level in levels) - 1e-9

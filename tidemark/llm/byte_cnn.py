@@ -10,7 +10,9 @@ and (2, 3) of a filter give is kept for all 65,536 byte pairs, so a window needs
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; without labelled rows every text is
 ``und``; every labelled language is learned: where ``PER_LANG`` rows of each are more than ``MAX_ROWS``, all big languages give
-equally many, ``LEAST`` at least, so beyond ``MAX_ROWS / LEAST`` languages the sample grows with their number; rows with a null language are not learned from; repeated rows give equal results; other columns are ignored.
+equally many, ``LEAST`` at least, so beyond ``MAX_ROWS / LEAST`` languages the sample grows with their number; rows with a null
+language are not learned from; a text of any length counts with all its windows; of languages that score equally the first by
+name is given; repeated rows give equal results; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

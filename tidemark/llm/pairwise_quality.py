@@ -9,8 +9,9 @@ the cut, shifted so that ``CUT`` marks it, so it is between 0 and 1 and needs no
 Scoring is a Spark expression over whole texts. The labels, the language, the source and the id never enter it.
 
 Defined results: a null text is an empty one and is scored too; without labels of both classes every score is 0.5; null
-labels are left out, repeated ones count once, the lowest; repeated rows score equally; an empty table gives no rows;
-other columns are ignored.
+labels are left out, repeated ones count once, the lowest; texts of any length count whole; of rows that tie for a place in the
+sample the smaller id, then the smaller features, is taken; of levels that tell the classes apart equally well the lowest is the
+cut; repeated rows score equally; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
