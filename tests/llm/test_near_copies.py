@@ -1,5 +1,8 @@
+import math
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from tidemark.llm import near_copies
 
@@ -49,12 +52,35 @@ def test_stage_against_all_pairs(spark):
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
 
 
-def test_long_keys_are_compared_to_the_end(spark):
-    """With one key for all, members are compared in rounds until none is left; no link is lost."""
+def test_filters_lose_no_similar_pair():
+    """Every pair of similar sets shares a key where the positional filter lets it pass, whatever the order of buckets."""
+    r = random.Random(9)
+    texts = {i: t for i, t in make().items() if r.random() < 0.5}
+    sets = {i: near_copies.shingles((t or "").lower().encode()) for i, t in texts.items()}
+    for seed in range(3):
+        counts = np.random.default_rng(seed).integers(0, 50, near_copies.BUCKETS)
+        keys = {i: near_copies.prefix(x, counts).tolist() for i, x in sets.items()}
+        for i, x in sets.items():
+            for j, y in sets.items():
+                both = len(np.intersect1d(x, y))
+                if i < j and len(x) and 5 * both >= 4 * (len(x) + len(y) - both):
+                    need = math.ceil(0.8 / 1.8 * (len(x) + len(y)) - 1e-6)
+                    passes = [k for k in set(keys[i]) & set(keys[j]) if min(len(x) - keys[i].index(k), len(y) - keys[j].index(k)) >= need]
+                    short, n = (keys[i], len(x)) if len(x) <= len(y) else (keys[j], len(y))
+                    assert any(n - short.index(k) >= math.ceil(0.8 / 1.8 * 2 * n - 1e-6) for k in passes)
+
 
-    texts = {i: t for i, t in make().items() if i < 990}
-    rows = [(i, len(shingle_set(t)), [7], t.encode()) for i, t in texts.items()]
-    frame = spark.createDataFrame(rows, "uid long, n long, keys array<long>, text binary")
-    labels = near_copies.connected(frame.select("uid", "n", "keys"), frame.select("uid", "text"), width=3).collect()
-    want, got = brute_groups(texts), {x.node: x.root for x in labels}
-    assert {i: got.get(i, i) for i in texts} == want
+def test_every_key_is_compared_to_the_end(spark):
+    """Chains that no head of a key connects: links among the others are found by the last round."""
+    r, texts = random.Random(2), {}
+    for c in range(6):
+        base = [f"c{c}w{i}" for i in range(120)]
+        texts[100 * c] = " ".join(base)
+        for k in range(1, 12):  # every third one is a copy of the one before, the others of the first
+            words = (texts[100 * c + k - 1] if k % 3 == 0 else texts[100 * c]).split()
+            for _ in range(r.randint(1, 3)):
+                words[r.randrange(120)] = f"x{r.randrange(10**6)}"
+            texts[100 * c + k] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    kept = sorted(x.doc_id for x in near_copies.keep_one(docs).collect())
+    assert kept == sorted(set(brute_groups(texts).values())) and 6 <= len(kept) < len(texts)

@@ -3,14 +3,20 @@
 Documents are near-copies if their sets of ``SHINGLE``-word shingles have a similarity of ``SIMILARITY`` or more, and all that
 near-copies connect are one group. Words are those of ``simhash``; a shingle is held as its XXH64 hash.
 
-Documents with equal sets are a class. A class has ``BANDS`` keys, each of ``ROWS`` MinHash values: two classes of
-similarity s share no key with a chance of (1 - s^ROWS)^BANDS, 5e-9 at 0.8 and less above. What shares a key is a candidate
-and is checked on the whole sets. The members of a key are compared with its first one, those not yet connected with the
-next ones, and so on until a key's members are connected or all compared, so a large group of near-copies costs about as
-many checks as it has members and yet no link is left out.
-
-Defined results: texts without a word are one class; texts of fewer than ``SHINGLE`` words are one shingle; of a group the row
-with the smallest id stays (null last; of rows repeated with it, one); an empty table gives no rows.
+The join is exact. Documents with equal sets are a class. Shingles are ordered by how often the corpus has their hash's bucket
+(``BUCKETS`` counts, summed over all documents), rarest first, then by hash. Two similar sets share one of the first few shingles
+of both (prefix filter), and where the first such one stands leaves room for what they must share (positional filter, which holds
+the length filter too). What rare shingles a document has are its own changes, so copies with many changes share no key, and
+those with few share the keys of what they were copied from.
+
+The members of a key are first compared with its head, the one with the fewest rarer shingles, which is the original or close to
+it; that is one comparison for each member, whatever the size of the key, and connects most. Rounds with the next heads go on
+while they connect a hundredth of the members left; then all pairs that are not connected yet and pass the filters are checked on
+their whole sets, so no link is left out.
+
+Defined results: texts without a word are one class; texts of fewer than ``SHINGLE`` words are one shingle; texts of any length
+count whole; of a group the row with the smallest id stays (null last; of rows repeated with it, one); an empty table gives no
+rows; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,12 +36,8 @@ from .simhash import _LOWER, SEED
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS = 48
-ROWS = 5
-_random = np.random.default_rng(11)
-_TIMES = (_random.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1))[:, None]
-_PLUS = _random.integers(0, 1 << 32, BANDS * ROWS, np.uint32)[:, None]
-_MIX = _random.integers(0, 1 << 64, (BANDS, ROWS), np.uint64) | np.uint64(1)
+#: Counters of shingles, by the upper bits of their hashes: a table of fixed size, for the order only.
+BUCKETS = 1 << 16
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -46,30 +48,48 @@ def shingles(text: bytes | None) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(t), SEED) for t in zip(*(words[i:] for i in range(SHINGLE)), strict=False)], np.uint64))
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
-    high = (hashes >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(high), 1024):
-        value = high[None, at : at + 1024] * _TIMES
-        value += _PLUS
-        np.minimum(least, value.min(axis=1), out=least)
-    return (least.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64).view(np.int64)
+def bucket_counts(texts: DataFrame) -> np.ndarray:
+    """How many shingles of the corpus fall in each bucket; a task gives its sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                total += np.bincount((shingles(text) >> np.uint64(48)).astype(np.int64), minlength=BUCKETS) if text else 0
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], names=["bucket", "n"])
+
+    counts = np.zeros(BUCKETS, np.int64)
+    for r in map_rows(texts, run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        counts[r["bucket"]] = r["n"]
+    return counts
+
+
+def prefix(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles, in order, of which a set similar to this one shares at least one."""
+    n = len(hashes)
+    if not n:
+        return np.zeros(0, np.int64)
+    order = np.lexsort((hashes, counts[(hashes >> np.uint64(48)).astype(np.int64)]))
+    return hashes[order[: n - int(np.ceil(SIMILARITY * n - 1e-6)) + 1]].view(np.int64)
 
 
 def mark(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The documents with a number, the digest and size of their set, and its keys."""
+    """The documents with a number, the digest and size of their set, and its prefix."""
     names = docs.columns
+    counts = bucket_counts(docs.select(F.col(f"`{text_col}`").cast("string").cast("binary")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             made = [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in found], pa.binary()), pa.array([len(x) for x in found], pa.int64())]
-            keys = np.concatenate([band_keys(x) for x in found] or [np.zeros(0, np.int64)])
-            made.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS), pa.int32()), pa.array(keys)))
+            keys = [prefix(x, counts) for x in found]
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in keys])))
+            made.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)]))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], f"{OWN}set", f"{OWN}n", f"{OWN}keys"])
 
     own = [docs[f"`{c}`"] for c in names]
-    numbered = docs.select(*own, F.monotonically_increasing_id().alias(f"{OWN}uid"), F.col(text_col).cast("string").cast("binary").alias(f"{OWN}text"))
+    numbered = docs.select(*own, F.monotonically_increasing_id().alias(f"{OWN}uid"), F.col(f"`{text_col}`").cast("string").cast("binary").alias(f"{OWN}text"))
     schema = T.StructType(numbered.schema.fields[:-1]).add(f"{OWN}set", "binary").add(f"{OWN}n", "long").add(f"{OWN}keys", T.ArrayType(T.LongType()))
     return materialize(map_rows(numbered, run, schema), "near-docs")
 
@@ -93,37 +113,51 @@ def similar(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
     return both.where(F.col("common") >= SIMILARITY * (F.col("total") - F.col("common")) - 1e-9).select("a", "b")
 
 
-def connected(classes: DataFrame, texts: DataFrame, width: int = 8) -> DataFrame:
-    """(node, root) of the classes (uid, n, keys) that have a near-copy; each round compares ``width`` times as many members of a key."""
-    members = classes.select("uid", "n", F.col("uid").alias("root"), F.explode("keys").alias("key"))
-    by_key = Window.partitionBy("key")
-    ranked = lambda m: m.select("*", F.row_number().over(by_key.orderBy("uid")).alias("rank"), F.min("root").over(by_key).alias("low"), F.max("root").over(by_key).alias("high")).where("low != high").drop("low", "high")
-    held = materialize(ranked(members), "near-keys")
+def roomy(n_a: Column, at_a: Column, n_b: Column, at_b: Column) -> Column:
+    """Whether sets that first share a shingle at these places can share enough from there on."""
+    return F.least(n_a - at_a, n_b - at_b) >= F.ceil(SIMILARITY / (1 + SIMILARITY) * (n_a + n_b) - 1e-6)
+
+
+def connected(classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, root) of the classes (uid, n, keys) that have a near-copy."""
+    members = classes.select("uid", "n", F.posexplode("keys").alias("at", "key"))
+    shared = materialize(members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"), "near-shared")
+    held = materialize(members.join(sized(shared), "key", "left_semi").withColumn("root", F.col("uid")), "near-keys")
     nodes = materialize(held.select("uid").distinct(), "near-nodes")
     hashes = materialize(sets(texts.join(sized(nodes), "uid", "left_semi")), "near-sets")
-    found, labels, first, turn = None, None, 1, 0
-    while labels is None or not held.isEmpty():
-        one = held.where(F.col("rank") <= first).select("key", F.col("uid").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("rank").alias("rank_a"))
-        far = (F.col("rank") > F.col("rank_a")) & (F.col("root") != F.col("root_a")) & (F.least("n", "n_a") >= SIMILARITY * F.greatest("n", "n_a") - 1e-9)
-        pairs = materialize(one.join(held, "key").where(far).select("a", F.col("uid").alias("b")).distinct(), f"near-pairs-{turn}")
-        new = materialize(similar(pairs, hashes), f"near-links-{turn}")
-        found = new if found is None else found.unionByName(new)
-        labels = components(found)
-        rest = held.where(F.col("rank") > first).select("key", "uid", "n").join(sized(labels), F.col("uid") == F.col("node"), "left").select("key", "uid", "n", F.coalesce("root", "uid").alias("root"))
-        held = materialize(ranked(rest), f"near-rest-{turn}")
-        first, turn = first * width, turn + 1
-    return labels
+    links, turn = None, 0
+    while True:
+        turn += 1
+        first = F.min(F.struct("at", "uid", "n", "root")).alias("h")
+        heads = held.groupBy("key").agg(first, F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+        heads = materialize(heads.select("key", F.col("h.at").alias("at_h"), F.col("h.uid").alias("uid_h"), F.col("h.n").alias("n_h"), F.col("h.root").alias("root_h")), f"near-heads-{turn}")
+        open_ = held.join(sized(heads, 3), "key").where("uid != uid_h")
+        pairs = open_.where((F.col("root") != F.col("root_h")) & roomy(F.col("n"), F.col("at"), F.col("n_h"), F.col("at_h"))).select(F.col("uid_h").alias("a"), F.col("uid").alias("b")).distinct()
+        new = materialize(similar(materialize(pairs, f"near-pairs-{turn}"), hashes), f"near-links-{turn}")
+        links = new if links is None else links.unionByName(new)
+        labels, found = components(links), new.count()
+        left = open_.select("key", "uid", "n", "at").join(sized(labels), F.col("uid") == F.col("node"), "left")
+        held = materialize(left.select("key", "uid", "n", "at", F.coalesce("root", "uid").alias("root")), f"near-left-{turn}")
+        if 100 * found <= held.select("uid").distinct().count():
+            break
+    a, b = held.alias("a"), held.alias("b")
+    longer = (F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.uid") < F.col("b.uid")))
+    apart = (F.col("a.root") != F.col("b.root")) & longer & roomy(F.col("a.n"), F.col("a.at"), F.col("b.n"), F.col("b.at"))
+    short = roomy(F.col("b.n"), F.col("b.at"), F.col("b.n"), F.col("b.at"))  # the shorter set must share from an earlier place on
+    pairs = materialize(a.join(b.where(short), (F.col("a.key") == F.col("b.key")) & apart).select(F.col("a.uid").alias("a"), F.col("b.uid").alias("b")).distinct(), "near-rest")
+    new = materialize(similar(pairs, hashes), "near-links")
+    return labels if new.isEmpty() else components(links.unionByName(new))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group of near-copies."""
     names, uid = docs.columns, f"{OWN}uid"
     marked = mark(docs, id_col, text_col)
-    rows = marked.select(F.col(id_col).cast("long").alias("id"), F.col(uid).alias("uid"), F.col(f"{OWN}set").alias("set"))
+    rows = marked.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(uid).alias("uid"), F.col(f"{OWN}set").alias("set"))
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("first")
     classes = materialize(rows.groupBy("set").agg(least).select("first", F.col("first.uid").alias("uid")), "near-classes")
     own = marked.select(F.col(uid).alias("uid"), F.col(f"{OWN}n").alias("n"), F.col(f"{OWN}keys").alias("keys")).where("n > 0")
-    labels = connected(own.join(sized(classes.select("uid")), "uid", "left_semi"), marked.select(F.col(uid).alias("uid"), F.col(text_col).cast("string").cast("binary").alias("text")))
+    labels = connected(own.join(sized(classes.select("uid")), "uid", "left_semi"), marked.select(F.col(uid).alias("uid"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text")))
     roots = classes.join(sized(labels), F.col("uid") == F.col("node"), "left").groupBy(F.coalesce("root", "uid").alias("root")).agg(F.min("first").alias("first"))
     kept = materialize(roots.select(F.col("first.uid").alias(uid)), "near-kept")
-    return marked.join(sized(kept), uid, "left_semi").select(*names)
+    return marked.join(sized(kept), uid, "left_semi").select(*[F.col(f"`{c}`") for c in names])
