@@ -7,9 +7,19 @@ from pyspark.sql import functions as F
 
 
 def live_leases(claims: DataFrame, now_ms: int) -> DataFrame:
-    """The holder of each partition: of its claims made by now that haven't expired, the earliest."""
-    alive = claims.where((F.col("claimed_ms") <= now_ms) & (F.col("expires_ms") > now_ms))
-    return alive.groupBy("partition").agg(F.min_by(F.struct("node_id", "expires_ms"), F.struct("claimed_ms", "node_id")).alias("c")).select("partition", "c.node_id", "c.expires_ms")
+    """The holder of each partition at an instant, from all claims made by then.
+
+    A claim is granted if no lease is live when it is made, and renews the lease of its own node; a claim made while another node's
+    lease is live is refused for good. So a partition's claims are folded in order of time, one step per claim.
+    """
+    claim = F.struct("claimed_ms", "node_id", "expires_ms")
+    made = claims.where(F.col("claimed_ms") <= now_ms).groupBy("partition").agg(F.sort_array(F.collect_list(claim)).alias("claims"))
+    kind = claims.select(F.struct("node_id", "expires_ms")).schema[0].dataType
+    free = lambda held, c: held["expires_ms"].isNull() | (held["expires_ms"] <= c["claimed_ms"]) | (held["node_id"] == c["node_id"])
+    step = lambda held, c: F.when(free(held, c), F.struct(c["node_id"].alias("node_id"), c["expires_ms"].alias("expires_ms")).cast(kind)).otherwise(held)
+    none = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields]).cast(kind)
+    held = made.select("partition", F.aggregate("claims", none, step).alias("c"))
+    return held.where(F.col("c.expires_ms") > now_ms).select("partition", "c.node_id", "c.expires_ms")
 
 
 def fair_share(leases: DataFrame, nodes: DataFrame) -> DataFrame:

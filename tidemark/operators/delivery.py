@@ -27,9 +27,11 @@ def retry_outcomes(attempts: DataFrame, count: str = "attempts", max_retries: in
     return attempts.withColumn("outcome", F.when(F.col(count) > max_retries, "dead_letter").otherwise("retry")).withColumn("backoff_s", backoff_seconds(F.col(count)))
 
 
-def attempt_counts(failures: DataFrame, acked: DataFrame, key: str = "msg_id") -> DataFrame:
-    """Failures per message that wasn't acknowledged since: an acknowledgement clears the counter."""
-    return failures.groupBy(key).agg(F.count("*").alias("attempts")).join(acked.select(key).distinct(), key, "left_anti")
+def attempt_counts(failures: DataFrame, acked: DataFrame, key: str = "msg_id", seq: str = "seq") -> DataFrame:
+    """Failures per message since it was last acknowledged, by order of ``seq``: an acknowledgement clears the counter."""
+    cleared = acked.groupBy(key).agg(F.max(seq).alias("__cleared"))
+    open_ = failures.join(cleared, key, "left").where(F.col("__cleared").isNull() | (F.col(seq) > F.col("__cleared")))
+    return open_.groupBy(key).agg(F.count("*").alias("attempts"))
 
 
 def dead_letters(failed: DataFrame, error: Column, stream: Column, msg_id: Column, moved_at: Column) -> DataFrame:

@@ -26,7 +26,7 @@ def histogram(outcomes: DataFrame, seconds: str, buckets: tuple[float, ...] = BU
 
 def quantile(buckets: DataFrame, keys: list[str], q: float) -> DataFrame:
     """A quantile of each histogram by linear interpolation within its bucket; beyond the last bound, that bound."""
-    rows = buckets.withColumn("__le", F.when(F.col("le") == "+Inf", F.lit(float("inf"))).otherwise(F.try_to_number("le", F.lit("999.99")).cast("double")))
+    rows = buckets.withColumn("__le", F.when(F.col("le") == "+Inf", F.lit(float("inf"))).otherwise(F.col("le").try_cast("double")))
     rows = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__le", "n"))).alias("b"), (F.max("n") * q).alias("rank"))
     at = F.filter("b", lambda x: x["n"] >= F.col("rank"))[0]
     below = F.coalesce(F.element_at(F.filter("b", lambda x: x["n"] < F.col("rank")), -1), F.struct(F.lit(0.0).alias("__le"), F.lit(0).cast("long").alias("n")))

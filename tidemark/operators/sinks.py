@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.keys import sink_token
+from tidemark.workers import importable
 
 TTL_SECONDS = 86_400
 
 
 def first_writes(events: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    """The first event of each key: what a sink that never forgets writes."""
-    return events.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(seq))).where("__n = 1").drop("__n")
+    """The first event of each key: what a sink that never forgets writes. Combined before the shuffle, so a key that comes very often is a row per task."""
+    rest = [c for c in events.columns if c not in keys]
+    first = events.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), seq).alias("__first"))
+    return first.select(*[F.col(f"`{c}`") if c in keys else F.col(f"__first.`{c}`").alias(c) for c in events.columns])
 
 
 def with_token(events: DataFrame, sink: str, event_id: Column) -> DataFrame:
@@ -26,12 +32,21 @@ def new_tokens(events: DataFrame, written: DataFrame) -> DataFrame:
 
 
 def writes_with_ttl(events: DataFrame, keys: list[str], ms: str, ttl_ms: int) -> DataFrame:
-    """(keys, ms) of the writes by a sink that forgets a key ``ttl_ms`` after its last write: greedy, in order of time."""
-    rows = events.groupBy(*keys).agg(F.sort_array(F.collect_list(ms)).alias("__at"))
-    empty = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("writes"))
-
-    def step(s: Column, t: Column) -> Column:
-        due = s["last"].isNull() | (t > s["last"] + F.lit(ttl_ms))
-        return F.when(due, F.struct(t.alias("last"), F.concat(s["writes"], F.array(t)).alias("writes"))).otherwise(s)
-
-    return rows.select(*keys, F.explode(F.aggregate("__at", empty, step, lambda s: s["writes"])).alias(ms))
+    """(keys, ms) of the writes by a sink that forgets a key ``ttl_ms`` after its last write: greedy, in order of time.
+
+    Which events are written depends on all before them, so a key's distinct times go through one task, a list at a time.
+    """
+    names, at, kinds = list(keys), events.select(*keys, F.col(ms).cast("long").alias(ms)).distinct(), events.select(*keys).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, 0
+        for batch in batches:
+            rows, times, keep = list(zip(*(c.to_pylist() for c in batch.columns[:-1]), strict=True)), batch.column(len(names)).to_pylist(), []
+            for i, (now, t) in enumerate(zip(rows, times, strict=True)):
+                if now != key or t > last + ttl_ms:
+                    key, last = now, t
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    importable(events.sparkSession)
+    return at.repartition(*names).sortWithinPartitions(*names, ms).mapInArrow(run, T.StructType([*kinds.fields, T.StructField(ms, T.LongType())]))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tidemark.functions.keys import truthy
 from tidemark.workers import importable
 
 Step = Callable[[DataFrame], DataFrame]
@@ -29,14 +31,19 @@ class Pipeline:
 
     def map(self, **columns: Column) -> Pipeline:
         """Set columns; a row for which one comes out null is dropped."""
-        return self._with(lambda df: df.withColumns(columns).dropna(subset=list(columns)))
+        return self._with(lambda df: df.withColumns(columns).where(reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in columns], F.lit(True))))
 
     def select(self, *columns: Column | str) -> Pipeline:
         return self._with(lambda df: df.select(*columns))
 
     def filter(self, predicate: Column) -> Pipeline:
-        """Keep rows for which the predicate is true; null and zero drop the row. A boolean predicate reaches the scan."""
-        return self._with(lambda df: df.where(predicate.cast("boolean")))
+        """Keep rows for which the predicate is true; null, zero and empty text drop the row. A boolean predicate reaches the scan."""
+
+        def step(df: DataFrame) -> DataFrame:
+            kind = df.select(predicate).schema[0].dataType.simpleString()
+            return df.where(predicate if kind == "boolean" else truthy(predicate, kind))
+
+        return self._with(step)
 
     def map_python(self, fn: Callable[[dict], dict | None], schema: str | T.StructType) -> Pipeline:
         """A function of one record as a dict, for what no Column expresses; None drops the record. Rows go to Python in Arrow batches."""

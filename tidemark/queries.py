@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tidemark.catalog import query, table
 from tidemark.functions import keys as K
-from tidemark.functions.time import Session, Sliding, Tumbling, epoch_micros, epoch_millis
+from tidemark.functions.time import Session, Sliding, Tumbling, epoch_micros, epoch_millis, event_millis, seconds_to_millis
 from tidemark.operators import cluster, delivery, metrics, sinks, state
 from tidemark.operators import validation as V
 from tidemark.operators.aggregate import ordered_fold, window_aggregate
@@ -107,6 +107,14 @@ def registry_dispatch(spark, d):
     return table(spark, d, "events").groupBy(registry.model(F.col("event_type")).alias("model")).agg(F.count("*").alias("n"))
 
 
+@query("event_time_of_record", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN epoch_us(ts) // 1000 WHEN event_id % 3 = 1 THEN event_id * 1000 + 500 ELSE 1700000000000 END AS ms FROM events")
+def event_time_of_record(spark, d):
+    """A record's own time, as a timestamp or as seconds; without one, the time that it arrived at."""
+    e = table(spark, d, "events")
+    stamp, seconds = F.when(F.col("event_id") % 3 == 0, F.col("ts")), F.when(F.col("event_id") % 3 == 1, seconds_to_millis(F.col("event_id") + 0.5))
+    return e.select("event_id", event_millis(stamp, F.coalesce(seconds, F.lit(1_700_000_000_000))).alias("ms"))
+
+
 @query("json_payload_decode", "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
 def json_payload_decode(spark, d):
     schema = V.Schema(T.StructType([T.StructField("k", T.LongType())]))
@@ -126,7 +134,14 @@ def fan_in(spark, d):
     return both.groupBy("topic").agg(F.count("*").alias("n"))
 
 
-@query("partition_assign")
+_CRC_TABLE = "SELECT list(list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)"
+
+
+@query(
+    "partition_assign",
+    f"""WITH c AS ({_CRC_TABLE}), e AS (SELECT event_id, list_transform(range(1, strlen(user_id::VARCHAR) + 1), lambda i: ord(substr(user_id::VARCHAR, i, 1))::BIGINT) AS bytes FROM events)
+SELECT event_id, (xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1])), 4294967295::BIGINT) % 4)::INT AS partition FROM e, c""",
+)
 def partition_assign(spark, d):
     return table(spark, d, "events").select("event_id", K.partition_of(F.col("user_id"), 4).alias("partition"))
 
@@ -342,6 +357,15 @@ def join_window_sliding(spark, d):
     return joined.select("user_id", "start_ms", F.col("left.event_id").alias("left_id"), F.col("right.event_id").alias("right_id"))
 
 
+@query(
+    "join_merge_function",
+    _SIDES + f" SELECT l.user_id, l.ms // {HOUR} * {HOUR} AS start_ms, l.event_id * 100000 + r.event_id AS pair FROM l JOIN r ON l.user_id = r.user_id AND l.ms // {HOUR} = r.ms // {HOUR} WHERE (l.event_id + r.event_id) % 3 <> 0",
+)
+def join_merge_function(spark, d):
+    merge = lambda a, b: F.when((a["event_id"] + b["event_id"]) % 3 != 0, a["event_id"] * 100_000 + b["event_id"])
+    return windowed_join(*_sides(spark, d), ["user_id"], "ms", "ms", Tumbling(HOUR), merge, "pair").select("user_id", "start_ms", "pair")
+
+
 @query("join_session_equal_times", "SELECT a.o_orderkey AS left_id, b.o_orderkey AS right_id FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderdate = b.o_orderdate AND a.o_orderkey < b.o_orderkey")
 def join_session_equal_times(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", epoch_millis(F.col("o_orderdate")).alias("ms"))
@@ -401,10 +425,10 @@ def backoff_delay(spark, d):
     return delivery.retry_outcomes(attempts(spark, d)).groupBy("attempts", "backoff_s").agg(F.count("*").alias("n"))
 
 
-@query("retry_counter_cleared", "SELECT user_id AS msg_id, count(*) AS attempts FROM events WHERE event_type = 'error' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND user_id % 2 = 0) GROUP BY 1")
+@query("retry_counter_cleared", "SELECT user_id AS msg_id, count(*) AS attempts FROM events e WHERE event_type = 'error' AND NOT EXISTS (SELECT 1 FROM events a WHERE a.user_id = e.user_id AND a.event_type = 'purchase' AND a.user_id % 2 = 0 AND a.event_id >= e.event_id) GROUP BY 1")
 def retry_counter_cleared(spark, d):
     e = table(spark, d, "events").withColumnRenamed("user_id", "msg_id")
-    return delivery.attempt_counts(e.where("event_type = 'error'"), e.where("event_type = 'purchase' AND msg_id % 2 = 0"))
+    return delivery.attempt_counts(e.where("event_type = 'error'"), e.where("event_type = 'purchase' AND msg_id % 2 = 0"), seq="event_id")
 
 
 _DLQ = f"SELECT event_id, 'failed ' || attempts AS _error, 'events' AS _original_stream, event_id::VARCHAR AS _original_msg_id, (event_id * 1000)::VARCHAR AS _moved_timestamp FROM ({_ATTEMPTS}) WHERE attempts > 3"
@@ -531,7 +555,9 @@ def replica_catchup(spark, d):
 
 NOW = AS_OF
 _CLAIMS = f"SELECT user_id % 16 AS partition, event_id % 5 AS node_id, ms AS claimed_ms, ms + 7200000 * (1 + event_id % 7) AS expires_ms FROM ({_E})"
-_LEASES = f"SELECT partition, node_id, expires_ms FROM ({_CLAIMS}) WHERE claimed_ms <= {NOW} AND expires_ms > {NOW} QUALIFY row_number() OVER (PARTITION BY partition ORDER BY claimed_ms, node_id) = 1"
+_LEASES = f"""SELECT partition, h.n AS node_id, h.x AS expires_ms FROM (SELECT partition, list_reduce(list_prepend({{'c': 0::BIGINT, 'n': -1::BIGINT, 'x': 0::BIGINT}},
+    list({{'c': claimed_ms::BIGINT, 'n': node_id::BIGINT, 'x': expires_ms::BIGINT}} ORDER BY claimed_ms, node_id, expires_ms)), lambda s, r: CASE WHEN s.x <= r.c OR s.n = r.n THEN r ELSE s END) AS h
+    FROM ({_CLAIMS}) WHERE claimed_ms <= {NOW} GROUP BY partition) WHERE h.x > {NOW}"""
 
 
 def claims(spark, d):

@@ -23,8 +23,7 @@ class LateSplitter:
     def _carried(self, spark, batch_id: int) -> int | None:
         if batch_id == 0:
             return None
-        rows = spark.read.parquet(f"{self.path}/carry").where(F.col("batch_id") < batch_id)
-        return rows.agg(F.max("max_ms")).first()[0]
+        return spark.read.parquet(f"{self.path}/carry/batch_id={batch_id - 1}").agg(F.max("max_ms")).first()[0]
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
