@@ -98,7 +98,7 @@ def test_stream_of_handlers(spark, tmp_path):
         assert stream.health()["status"] == "ok"
     assert sorted(map(str, seen)) == ["('all', 20)", "(0, 19)"]
     assert {r.event_type for r in source.with_topic("out").read().collect()} == {"GenericEvent"}
-    dead = spark.read.parquet(str(tmp_path / "topics" / "in-dlq")).first()
+    dead = spark.read.parquet(str(tmp_path / "topics" / "in-dlq") + "/*").first()
     assert dead.event_id == 3 and dead._error == "event_type" and dead._original_stream == "in"
     assert splitter.on_time(spark).count() == 20 and splitter.late(spark).count() == 0
     again = Stream(spark, source, str(tmp_path / "ck"))
@@ -109,28 +109,89 @@ def test_stream_of_handlers(spark, tmp_path):
     assert union([rows, rows.drop("ms")]).count() == 40
 
 
-def test_failed_batch_runs_again(spark, tmp_path):
-    source = backends.open_topic(spark, "in", "g", "log", SCHEMA, path=str(tmp_path / "topics"))
+def _ten(spark, path):
+    source = backends.open_topic(spark, "in", "g", "log", SCHEMA, path=str(path))
     source.append(spark.range(10).select(F.col("id").alias("event_id"), F.lit("t").alias("event_type"), F.lit(0).cast("long").alias("ms")))
-    done = []
+    return source
+
+
+def test_failed_batch_is_tried_again_then_dead(spark, tmp_path):
+    source, calls, waits = _ten(spark, tmp_path / "topics"), [], []
 
-    def handler(fail):
+    def handler(fails):
         def run(batch):
-            if fail:
+            calls.append(batch.count())
+            if len(calls) <= fails:
                 raise RuntimeError("down")
-            done.append(sorted(r.event_id for r in batch.collect()))
 
         return run
 
-    first = Stream(spark, source, str(tmp_path / "ck"))
-    first.subscribe()(handler(True))
-    with pytest.raises(Exception, match="down"):
-        first.run()
-    assert first.health()["status"] == "error"
-    second = Stream(spark, source, str(tmp_path / "ck"))
-    second.subscribe()(handler(False))
+    first = Stream(spark, source, str(tmp_path / "ck"), max_retries=2, delay=lambda n: waits.append(n) or 0.0)
+    first.subscribe()(handler(2))
+    first.run()
+    assert calls == [10] * 3 and waits == [1, 2] and first.health()["status"] == "ok"
+    calls.clear()
+    second = Stream(spark, source, str(tmp_path / "ck2"), max_retries=2, delay=lambda n: 0.0)
+    second.subscribe()(handler(99))
     second.run()
-    assert done == [list(range(10))]
+    dead = spark.read.parquet(str(tmp_path / "topics" / "in-dlq") + "/*").collect()
+    assert calls == [10] * 3 and sorted(r.event_id for r in dead) == list(range(10)) and {r._error for r in dead} == {"RuntimeError: down"}
+
+
+def test_failing_records_survive_a_crash(spark, tmp_path):
+    """Records are handled once if they succeed; the count of failures goes on after a crash; dead letters are added once."""
+    source, log = _ten(spark, tmp_path / "topics"), str(tmp_path / "handled")
+
+    def handle(record, attempt, log=log):
+        with open(log, "a") as f:
+            f.write(f"{record['event_id']} {attempt}\n")
+        if record["event_id"] == 3 or (record["event_id"] == 5 and attempt < 3):
+            raise ValueError(f"no {record['event_id']}")
+
+    def crash(n):
+        raise SystemError("the driver dies")
+
+    first = Stream(spark, source, str(tmp_path / "ck"), max_retries=2, delay=crash)
+    first.subscribe(each=True, checks={"id": F.col("event_id") != 8})(handle)
+    with pytest.raises(Exception, match="the driver dies"):
+        first.run()
+    for _ in range(2):
+        again = Stream(spark, source, str(tmp_path / "ck"), max_retries=2, delay=lambda n: 0.0)
+        again.subscribe(each=True, checks={"id": F.col("event_id") != 8})(handle)
+        again.run()
+    seen = sorted(tuple(map(int, x.split())) for x in open(log).read().splitlines())
+    assert seen == sorted([(i, 1) for i in range(10) if i != 8] + [(3, 2), (5, 2), (3, 3), (5, 3)])
+    dead = source.with_topic("in").dead_letters()
+    dead.schema = None
+    assert sorted((r.event_id, r._error) for r in dead.read().collect()) == [(3, "ValueError: no 3"), (8, "id")]
+
+
+def test_memory_topic_as_a_stream(spark, tmp_path):
+    source, seen = backends.MemoryBackend(spark, "memory-in", "g", SCHEMA), []
+    source.append(spark.range(4).select(F.col("id").alias("event_id"), F.lit("t").alias("event_type"), F.col("id").alias("ms")))
+    stream = Stream(spark, source, str(tmp_path / "ck"))
+    stream.subscribe()(lambda batch: seen.append(batch.count()))
+    stream.run()
+    source.append(spark.range(1).select(F.col("id").alias("event_id"), F.lit("t").alias("event_type"), F.col("id").alias("ms")))
+    stream.run()
+    assert seen == [4, 1]
+
+
+def test_backend_of_the_environment_gives_way_to_memory(spark, monkeypatch):
+    monkeypatch.setenv("TIDEMARK_BACKEND", "nothing of the kind")
+    assert isinstance(backends.open_topic(spark, "t", "g"), backends.MemoryBackend)
+    with pytest.raises(ValueError, match="no backend"):
+        backends.open_topic(spark, "t", "g", "nothing of the kind")
+    monkeypatch.setenv("TIDEMARK_BACKEND", "log")
+    monkeypatch.setenv("TIDEMARK_PATH", "/somewhere")
+    assert backends.open_topic(spark, "t", "g").location == "/somewhere/t"
+    backends.register_state_store("own", "a.b.C")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    backends.use_state_store(spark, "own")
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == "a.b.C"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    with pytest.raises(ValueError, match="no state store"):
+        backends.use_state_store(spark, "none")
 
 
 def test_idempotent_sinks(spark, tmp_path):

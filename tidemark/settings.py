@@ -21,6 +21,17 @@ class Settings:
     segment_rows: int = 1_000_000
     log_format: str = "text"
 
+    def options(self, backend: str) -> dict[str, str]:
+        """What a backend takes from the settings."""
+        if backend in ("file", "log"):
+            return {"path": self.path}
+        if backend == "kafka":
+            return {"servers": self.servers}
+        if backend == "redis":
+            host, _, port = (self.servers or "127.0.0.1:6379").partition(":")
+            return {"host": host, "port": port or "6379"}
+        return {}
+
     @classmethod
     def load(cls, env: dict[str, str] | None = None) -> Settings:
         env = os.environ if env is None else env

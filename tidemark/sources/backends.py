@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import logging
 import os
+import tempfile
 from abc import ABC, abstractmethod
 from collections.abc import Callable
 from importlib.metadata import entry_points
@@ -16,7 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.settings import Settings
 from tidemark.sources.redis_stream import RedisSource
+from tidemark.storage import one_machine, write_once
 from tidemark.workers import importable
 
 log = logging.getLogger(__name__)
@@ -42,6 +45,10 @@ class Backend(ABC):
     @abstractmethod
     def append(self, rows: DataFrame) -> None: ...
 
+    def append_once(self, rows: DataFrame, key: str) -> None:
+        """Append under a key; file and log topics do nothing for a key that they have, others add the rows again and leave it to readers to tell them by id."""
+        self.append(rows)
+
     def dead_letters(self) -> Backend:
         return self.with_topic(self.topic + DLQ)
 
@@ -67,18 +74,21 @@ class FileBackend(Backend):
 
     def read(self) -> DataFrame:
         try:
-            return self.spark.read.schema(self._typed()).option("mode", "DROPMALFORMED").json(self.location)
+            return self.spark.read.schema(self._typed()).option("mode", "DROPMALFORMED").option("recursiveFileLookup", "true").json(self.location)
         except Exception as missing:
             if "PATH_NOT_FOUND" not in str(missing):
                 raise
             return self.spark.createDataFrame([], self._typed())
 
     def read_stream(self, **options: object) -> DataFrame:
-        return self.spark.readStream.options(**options).schema(self._typed()).option("mode", "DROPMALFORMED").json(self.location)
+        return self.spark.readStream.options(**options).schema(self._typed()).option("mode", "DROPMALFORMED").option("recursiveFileLookup", "true").json(self.location)
 
     def append(self, rows: DataFrame) -> None:
         rows.write.mode("append").json(self.location)
 
+    def append_once(self, rows: DataFrame, key: str) -> None:
+        write_once(rows, f"{self.location}/{key}", "json")
+
 
 class LogBackend(Backend):
     """Parquet below ``path``, a folder per topic."""
@@ -88,19 +98,26 @@ class LogBackend(Backend):
         return f"{self.options['path'].rstrip('/')}/{self.topic}"
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.location) if self.schema is None else self.spark.read.schema(self.schema).parquet(self.location)
+        reader = self.spark.read.option("recursiveFileLookup", "true")
+        return reader.parquet(self.location) if self.schema is None else reader.schema(self.schema).parquet(self.location)
 
     def read_stream(self, **options: object) -> DataFrame:
-        return self.spark.readStream.options(**options).schema(self.schema or self.read().schema).parquet(self.location)
+        return self.spark.readStream.options(**options).option("recursiveFileLookup", "true").schema(self.schema or self.read().schema).parquet(self.location)
 
     def append(self, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(self.location)
 
+    def append_once(self, rows: DataFrame, key: str) -> None:
+        write_once(rows, f"{self.location}/{key}")
+
 
 class MemoryBackend(Backend):
-    """Rows kept by the driver, for tests and examples; topics are shared within a process."""
+    """Rows kept by the driver's process, for tests and examples; topics are shared within a process. A stream reads the files of
+    ``spool``, a temporary folder that every append is written to as well, so it works on this machine only."""
 
     topics: dict[str, list[DataFrame]] = {}
+    keys: set[tuple[str, str]] = set()
+    spool = tempfile.mkdtemp(prefix="tidemark-memory-")
 
     def read(self) -> DataFrame:
         parts = self.topics.get(self.topic, [])
@@ -112,10 +129,23 @@ class MemoryBackend(Backend):
         return out
 
     def read_stream(self, **options: object) -> DataFrame:
-        raise NotImplementedError("a memory topic has no stream; use a file or log topic")
+        if not one_machine(self.spark):
+            raise ValueError("a memory topic lives in the driver's process; use another backend on a cluster")
+        schema = self.schema or self.read().schema
+        if not schema.fields:
+            raise ValueError(f"the topic {self.topic!r} has neither a schema nor a row to take it from")
+        os.makedirs(f"{self.spool}/{self.topic}", exist_ok=True)
+        return self.spark.readStream.options(**options).schema(schema).parquet(f"file://{self.spool}/{self.topic}")
 
     def append(self, rows: DataFrame) -> None:
-        self.topics.setdefault(self.topic, []).append(self.spark.createDataFrame(rows.collect(), rows.schema))
+        held = self.spark.createDataFrame(rows.collect(), rows.schema)
+        held.coalesce(1).write.mode("append").parquet(f"file://{self.spool}/{self.topic}")
+        self.topics.setdefault(self.topic, []).append(held)
+
+    def append_once(self, rows: DataFrame, key: str) -> None:
+        if (self.topic, key) not in self.keys:
+            self.append(rows)
+            self.keys.add((self.topic, key))
 
 
 class KafkaBackend(Backend):
@@ -169,6 +199,34 @@ def register_backend(name: str, backend: type[Backend]) -> None:
     _BACKENDS[name] = backend
 
 
+_STATE_STORES: dict[str, str] = {"memory": "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider", "rocksdb": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def register_state_store(name: str, provider: str) -> None:
+    """A state store by the class of Spark's provider interface that makes it."""
+    _STATE_STORES[name] = provider
+
+
+def use_state_store(spark: SparkSession, name: str) -> None:
+    """Keep the state of streams that start from now on in a registered store."""
+    load_plugins()
+    if name not in _STATE_STORES:
+        raise ValueError(f"no state store named {name!r}")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STATE_STORES[name])
+
+
+class Registry:
+    """What a plugin's function gets: called, it registers a backend; it also takes state stores."""
+
+    def __call__(self, name: str, backend: type[Backend]) -> None:
+        register_backend(name, backend)
+
+    backend = __call__
+
+    def state_store(self, name: str, provider: str) -> None:
+        register_state_store(name, provider)
+
+
 def get_backend(name: str) -> type[Backend] | None:
     load_plugins()
     return _BACKENDS.get(name)
@@ -182,17 +240,25 @@ def load_plugins(found: Callable[..., list] = entry_points) -> None:
     _loaded = True
     for entry in found(group=ENTRY_POINTS):
         try:
-            entry.load()(register_backend)
+            entry.load()(Registry())
         except Exception:
             log.exception("plugin %s failed to load", entry.name)
 
 
 def open_topic(spark: SparkSession, topic: str | None, group: str | None, format: str | None = None, schema: T.StructType | None = None, **options: str) -> Backend:
-    """A backend by name, or by the environment: TIDEMARK_BACKEND, else memory."""
+    """A backend by name, or by the settings of the environment. One from the environment that is unknown or can't be made gives
+    way to memory with a warning; one named by the caller is an error."""
     if not topic or not group:
         raise ValueError("a topic and a group are needed")
-    name = format or os.environ.get("TIDEMARK_BACKEND", "memory")
-    kind = get_backend(name)
-    if kind is None:
-        raise ValueError(f"no backend named {name!r}")
-    return kind(spark, topic, group, schema, **options)
+    settings = Settings.load()
+    name = format or settings.backend
+    try:
+        kind = get_backend(name)
+        if kind is None:
+            raise ValueError(f"no backend named {name!r}")
+        return kind(spark, topic, group, schema, **{**settings.options(name), **options})
+    except Exception:
+        if format or name == "memory":
+            raise
+        log.warning("backend %s can't be used, memory is", name, exc_info=True)
+        return MemoryBackend(spark, topic, group, schema, **options)

@@ -62,6 +62,25 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd", rows: int | None
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; none if it isn't there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in files.listStatus(at)) if files.exists(at) else []
+
+
+def write_once(df: DataFrame, path: str, format: str = "parquet") -> None:
+    """Write a folder unless it has been written whole before, so that work which runs again adds nothing."""
+    if not exists(df.sparkSession, f"{path}/_SUCCESS"):
+        df.write.mode("overwrite").format(format).save(path)
+
+
 def drop_tables(spark: SparkSession, paths: Iterable[str]) -> None:
     """Delete tables that no frame in use reads."""
     for path in paths:

@@ -13,10 +13,12 @@ from tidemark.catalog import query
 from tidemark.functions.time import Tumbling
 from tidemark.operators.sinks import first_writes
 from tidemark.queries import _DUPLICATES, _E, _WM, HOUR, duplicates, events
+from tidemark.sources.backends import LogBackend
 from tidemark.storage import new_path
 from tidemark.streaming.late import LateSplitter
 from tidemark.streaming.sinks import IdempotentTable
 from tidemark.streaming.stateful import keyed_fold
+from tidemark.streaming.stream import Stream
 
 CHUNKS = 3
 
@@ -85,3 +87,23 @@ def window_stream(spark, d):
     rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     still = spark.read.format("statestore").load(checkpoint).select(F.unix_millis("key.window.start").alias("start_ms"), F.col("value.count").alias("n"))
     return first_writes(spark.read.schema("start_ms long, n long").parquet(path).unionByName(still).withColumn("k", F.col("start_ms")), ["k"], "start_ms").select("start_ms", "n")
+
+
+@query("retry_stream", "SELECT event_id, 'ValueError: poison ' || event_id AS _error, 'events' AS _original_stream FROM events WHERE event_id % 7 = 0")
+def retry_stream(spark, d):
+    """A handler of records that always fails for some and fails twice for others: only the former are dead letters, and the stream goes on to its end."""
+    path = new_path(spark, "retry")
+    topic = LogBackend(spark, "events", "readers", events(spark, d).select("event_id", "user_id").schema, path=path)
+    for part in range(CHUNKS):
+        topic.append(events(spark, d).where(F.col("event_id") % CHUNKS == part).select("event_id", "user_id").coalesce(2))
+    stream = Stream(spark, topic, f"{path}/checkpoints", delay=lambda attempt: 0.0)
+
+    @stream.subscribe(each=True, maxFilesPerTrigger="2")
+    def handle(record, attempt):
+        if record["event_id"] % 7 == 0:
+            raise ValueError(f"poison {record['event_id']}")
+        if record["event_id"] % 5 == 0 and attempt < 3:
+            raise ValueError("not yet")
+
+    stream.run()
+    return LogBackend(spark, "events-dlq", "readers", path=path).read().select("event_id", "_error", "_original_stream")
