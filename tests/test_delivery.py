@@ -80,9 +80,9 @@ def test_idempotent_writes(spark):
 def test_retries_and_dead_letters(spark):
     df = spark.createDataFrame([("m1", 1), ("m2", 3)], "msg_id string, attempts long")
     assert [r.outcome for r in delivery.retry_outcomes(df, max_retries=2).orderBy("msg_id").collect()] == ["retry", "dead_letter"]
-    failures = spark.createDataFrame([("m1",), ("m1",), ("m2",)], "msg_id string")
-    acked = spark.createDataFrame([("m1",)], "msg_id string")
-    assert [tuple(r) for r in delivery.attempt_counts(failures, acked).collect()] == [("m2", 1)]
+    failures = spark.createDataFrame([("m1", 1), ("m1", 2), ("m2", 3), ("m3", 4), ("m3", 6)], "msg_id string, seq long")
+    acked = spark.createDataFrame([("m1", 3), ("m3", 5)], "msg_id string, seq long")
+    assert sorted(tuple(r) for r in delivery.attempt_counts(failures, acked).collect()) == [("m2", 1), ("m3", 1)]
     dlq = delivery.dead_letters(df.withColumn("seq", F.col("attempts")), F.lit("boom"), F.lit("orders"), F.col("msg_id"), F.lit(7))
     assert set(dlq.columns) >= {"_error", "_original_stream", "_original_msg_id", "_moved_timestamp"}
     again, rest = delivery.replay(dlq, "seq", 1)
@@ -127,7 +127,7 @@ def test_commit_log(spark, tmp_path):
 
 
 def test_cluster(spark):
-    claims = spark.createDataFrame([(0, "a", 1, 5), (0, "b", 2, 50), (1, "a", 1, 50), (1, "c", 2, 50)], "partition int, node_id string, claimed_ms long, expires_ms long")
+    claims = spark.createDataFrame([(0, "a", 1, 5), (0, "b", 5, 50), (1, "a", 1, 50), (1, "c", 2, 50)], "partition int, node_id string, claimed_ms long, expires_ms long")
     leases = cluster.live_leases(claims, 10)
     assert {r.partition: r.node_id for r in leases.collect()} == {0: "b", 1: "a"}
     nodes = spark.createDataFrame([("a", "h1", 1), ("b", "h2", 2)], "node_id string, host string, port int")
@@ -151,3 +151,24 @@ def test_keys(spark):
     import zlib
 
     assert tuple(row) == (zlib.crc32(b"abc") % 4, "default_key", "t:k:0.0:10.0", False, True)
+
+
+def test_nan_stays_null_goes_and_text_is_truthy(spark):
+    df = spark.createDataFrame([(1, float("nan"), "x"), (2, None, ""), (3, 1.5, None)], "id int, v double, t string")
+    assert [r.id for r in Pipeline().map(w=F.col("v") * 2).build(df).orderBy("id").collect()] == [1, 3]
+    assert [r.id for r in Pipeline().filter(F.col("t")).build(df).collect()] == [1]
+
+
+def test_quantile_of_any_bucket_bounds(spark):
+    from tidemark.operators import metrics
+
+    rows = spark.createDataFrame([("s", x) for x in (0.0005, 0.004, 400.0, 900.0)], "stream string, seconds double").withColumn("status", F.lit("success"))
+    found = metrics.quantile(metrics.histogram(rows, "seconds", (0.001, 0.005, 1000.0)), ["stream"], 0.75).first()
+    assert abs(found["value"] - (0.005 + (1000 - 0.005) / 2)) < 1e-9
+
+
+def test_a_claim_under_a_live_lease_is_refused_for_good(spark):
+    claims = spark.createDataFrame([(0, "a", 0, 10), (0, "b", 5, 100), (0, "c", 10, 20), (0, "c", 15, 30), (1, "a", 0, 10)], "partition int, node_id string, claimed_ms long, expires_ms long")
+    at = lambda ms: [tuple(r) for r in cluster.live_leases(claims, ms).collect()]
+    assert at(7) == [(0, "a", 10), (1, "a", 10)] or sorted(at(7)) == [(0, "a", 10), (1, "a", 10)]
+    assert at(12) == [(0, "c", 20)] and at(25) == [(0, "c", 30)] and at(50) == []

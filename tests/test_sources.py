@@ -213,6 +213,78 @@ def test_idempotent_sinks(spark, tmp_path):
         HttpSink("h", "http://x", transport=post)(spark.createDataFrame([(99,)], "event_id long"), 0)
 
 
+def test_posted_events_are_not_posted_again(spark, tmp_path):
+    out, down = str(tmp_path / "posted"), tmp_path / "down"
+    down.write_text("")
+
+    def post(url, body, headers, timeout, out=out, down=str(down)):
+        import os
+
+        if b"99" in body and os.path.exists(down):
+            return 503
+        with open(out, "a") as f:
+            f.write(body.decode() + "\n")
+        return 200
+
+    sink = HttpSink("h", "http://x", transport=post, path=str(tmp_path / "log"))
+    batch = spark.createDataFrame([(1,), (99,), (2,)], "event_id long").coalesce(1)
+    with pytest.raises(RuntimeError, match="503 to 1 events"):
+        sink(batch, 0)
+    down.unlink()
+    sink(batch, 0)
+    sink(batch, 0)
+    assert sorted(open(out).read().splitlines()) == ['{"event_id": 1}', '{"event_id": 2}', '{"event_id": 99}']
+
+
+def test_tokens_are_merged_and_forgotten(spark, tmp_path):
+    sink = IdempotentTable("s", str(tmp_path / "t"), "k", "n", ttl_ms=10, at="ms", merge_every=2)
+    batches = [[("a", 0, 1), ("a", 3, 2), ("b", 5, 3)], [("a", 10, 4), ("a", 11, 5)], [("b", 15, 6), ("c", 40, 7)], [("b", 41, 8)], [("a", 60, 9), ("c", 50, 10)]]
+    frames = [spark.createDataFrame(b, "k string, ms long, n long") for b in batches]
+    for i, frame in enumerate(frames):
+        sink(frame, i)
+        sink(frame, i)  # a batch that runs again
+    seen = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "t")).select("k", "ms").collect())
+    assert seen == [("a", 0), ("a", 11), ("a", 60), ("b", 5), ("b", 41), ("c", 40)]
+    kept = sorted(x.name for x in (tmp_path / "t.tokens").iterdir())
+    assert kept == ["base=2", "base=4", "batch=2", "batch=3", "batch=4"]
+    assert {r.token[-1] for r in sink.written(spark, 4).collect()} == {"b", "c"}
+
+
+def test_log_watermarks_after_an_append_that_was_cut_short(spark, tmp_path):
+    from tidemark.sources.commit_log import CommitLog, scan
+
+    log = CommitLog(spark, str(tmp_path / "log"), 2, segment_rows=5)
+    assert log.high_watermarks().count() == 0
+    log.append(spark.range(20), F.col("id"), ["id"])
+    log.append(spark.range(20, 30), F.col("id"), ["id"])
+    want = {r.partition: r.n for r in log.read().groupBy("partition").agg(F.count("*").alias("n")).collect()}
+    assert {r.partition: r.high_watermark for r in log.high_watermarks().collect()} == want and sum(want.values()) == 30
+    assert all("log.watermarks/version=2/" in f for f in log.high_watermarks().inputFiles())
+    spark.range(1).write.parquet(str(tmp_path / "log.watermarks" / "appending"))  # an append began and never ended
+    assert not any("log.watermarks" in f for f in log.high_watermarks().inputFiles())
+    log.append(spark.range(30, 40), F.col("id"), ["id"])
+    for r in log.read().groupBy("partition").agg(F.count("*").alias("n"), F.countDistinct("offset").alias("d"), F.max("offset").alias("m")).collect():
+        assert r.n == r.d == r.m + 1
+    plan = scan(log.read(), 1, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(partition" in plan and "GreaterThanOrEqual(offset,3)" in plan
+
+
+def test_a_replay_that_was_cut_short_is_finished(spark, tmp_path):
+    from tidemark import cli
+
+    path, target = str(tmp_path / "dlq"), str(tmp_path / "main")
+    spark.range(6).select(F.col("id").alias("offset"), F.lit("e").alias("_error")).write.parquet(path)
+    # All was written beside the folder, then the process died.
+    again, rest = cli.delivery.replay(spark.read.parquet(path), "offset", 2)
+    rest.write.parquet(f"{path}.rest")
+    again.write.parquet(f"{path}.replay")
+    assert cli.dlq_replay(spark, path, target, 2, "offset") == 2
+    assert sorted(r.offset for r in spark.read.parquet(target).collect()) == [0, 1, 2, 3]
+    assert sorted(r.offset for r in spark.read.parquet(path).collect()) == [4, 5]
+    spark.read.parquet(path).limit(0).write.parquet(f"{path}.rest")  # only half of what a replay needs: dropped
+    assert cli.dlq_replay(spark, path, target, 9, "offset") == 2 and spark.read.parquet(path).count() == 0
+
+
 def test_settings_and_cli(spark, tmp_path, capsys):
     from tidemark import cli
     from tidemark.sources.commit_log import CommitLog

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import delivery
 from tidemark.sources import commit_log
 from tidemark.sources.commit_log import CommitLog
+from tidemark.storage import children, drop_tables, exists, move
 
 
 def show(df: DataFrame) -> list[str]:
@@ -27,19 +28,42 @@ def dlq_inspect(spark: SparkSession, path: str, limit: int, seq: str) -> list[st
     return show(spark.read.parquet(path).orderBy(seq).limit(limit))
 
 
+def _replace(spark: SparkSession, made: str, path: str) -> None:
+    drop_tables(spark, [path])
+    move(spark, made, path)
+
+
+def _finish(spark: SparkSession, path: str, target: str | None) -> None:
+    """Carry a change that was cut short to its end, once all of it is written; drop one that isn't."""
+    again, rest = f"{path}.replay", f"{path}.rest"
+    whole = [exists(spark, f"{p}/_SUCCESS") for p in (again, rest)]
+    if whole[0] and target:
+        for name in children(spark, again):
+            if name.startswith("part-"):
+                spark._jvm.org.apache.hadoop.fs.Path(target).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(target))
+                move(spark, f"{again}/{name}", f"{target.rstrip('/')}/{name}")
+    if whole[1] and (whole[0] or not exists(spark, path)):
+        _replace(spark, rest, path)
+    drop_tables(spark, [again, rest])
+
+
 def dlq_replay(spark: SparkSession, path: str, target: str, limit: int, seq: str) -> int:
-    """Append the oldest dead letters to their topic again, without metadata; the folder keeps the rest."""
+    """Append the oldest dead letters to their topic again, without metadata; the folder keeps the rest. Both are written beside it
+    before either is put in place, so a replay that is cut short is finished by the next one, and nothing is lost or sent twice."""
+    path = path.rstrip("/")
+    _finish(spark, path, target)
     again, rest = delivery.replay(spark.read.parquet(path), seq, limit)
-    count = again.count()
-    again.write.mode("append").parquet(target)
-    kept = f"{path.rstrip('/')}.rest"
-    rest.write.mode("overwrite").parquet(kept)
-    spark.read.parquet(kept).write.mode("overwrite").parquet(path)
+    rest.write.mode("overwrite").parquet(f"{path}.rest")
+    again.write.mode("overwrite").parquet(f"{path}.replay")
+    count = spark.read.parquet(f"{path}.replay").count()
+    _finish(spark, path, target)
     return count
 
 
 def dlq_purge(spark: SparkSession, path: str) -> None:
-    spark.createDataFrame([], spark.read.parquet(path).schema).write.mode("overwrite").parquet(path)
+    path = path.rstrip("/")
+    spark.createDataFrame([], spark.read.parquet(path).schema).write.mode("overwrite").parquet(f"{path}.new")
+    _replace(spark, f"{path}.new", path)
 
 
 def groups(spark: SparkSession, path: str) -> list[str]:
@@ -48,10 +72,9 @@ def groups(spark: SparkSession, path: str) -> list[str]:
 
 def reset(spark: SparkSession, path: str, group: str, to: str) -> None:
     """Move a group's offsets in a table of (group, topic, partition, committed)."""
-    moved = delivery.reset_offsets(spark.read.parquet(path), group, to)
-    kept = f"{path.rstrip('/')}.moved"
-    moved.write.mode("overwrite").parquet(kept)
-    spark.read.parquet(kept).write.mode("overwrite").parquet(path)
+    path = path.rstrip("/")
+    delivery.reset_offsets(spark.read.parquet(path), group, to).write.mode("overwrite").parquet(f"{path}.new")
+    _replace(spark, f"{path}.new", path)
 
 
 def status(spark: SparkSession) -> list[str]:

@@ -31,22 +31,29 @@ def new_tokens(events: DataFrame, written: DataFrame) -> DataFrame:
     return events.join(written.select("token").distinct(), "token", "left_anti")
 
 
-def writes_with_ttl(events: DataFrame, keys: list[str], ms: str, ttl_ms: int) -> DataFrame:
-    """(keys, ms) of the writes by a sink that forgets a key ``ttl_ms`` after its last write: greedy, in order of time.
+def writes_with_ttl(events: DataFrame, keys: list[str], ms: str, ttl_ms: int, written: DataFrame | None = None) -> DataFrame:
+    """(keys, ms) of the writes by a sink that forgets a key ``ttl_ms`` after its last write: greedy, in order of time. ``written``
+    has the last write of keys from before, as (keys, ms).
 
     Which events are written depends on all before them, so a key's distinct times go through one task, a list at a time.
     """
     names, at, kinds = list(keys), events.select(*keys, F.col(ms).cast("long").alias(ms)).distinct(), events.select(*keys).schema
+    at = at.withColumn("__old", F.lit(False))
+    if written is not None:
+        at = at.unionByName(written.select(*keys, F.col(ms).cast("long").alias(ms), F.lit(True).alias("__old")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, last = None, 0
         for batch in batches:
-            rows, times, keep = list(zip(*(c.to_pylist() for c in batch.columns[:-1]), strict=True)), batch.column(len(names)).to_pylist(), []
-            for i, (now, t) in enumerate(zip(rows, times, strict=True)):
-                if now != key or t > last + ttl_ms:
+            rows, keep = list(zip(*(batch.column(i).to_pylist() for i in range(len(names))), strict=True)), []
+            for i, (now, t, old) in enumerate(zip(rows, batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True)):
+                if old or now != key or t > last + ttl_ms:
                     key, last = now, t
-                    keep.append(i)
-            yield batch.take(pa.array(keep, pa.int64()))
+                    if not old:
+                        keep.append(i)
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(keep, pa.int64())) for c in batch.columns[:-1]], names=batch.schema.names[:-1])
 
     importable(events.sparkSession)
-    return at.repartition(*names).sortWithinPartitions(*names, ms).mapInArrow(run, T.StructType([*kinds.fields, T.StructField(ms, T.LongType())]))
+    # A write from before comes first, whatever the times of late events.
+    ordered = at.repartition(*names).sortWithinPartitions(*names, F.col("__old").desc(), ms)
+    return ordered.mapInArrow(run, T.StructType([*kinds.fields, T.StructField(ms, T.LongType())]))

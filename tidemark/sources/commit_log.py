@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.keys import partition_of
 from tidemark.plans.prefix import dense_numbers
+from tidemark.storage import children, drop_tables, exists, materialize
 
 PARTITIONS = 4
 #: Rows of a file, the log's segment, at most.
@@ -50,7 +51,7 @@ def retained(log: DataFrame, segment: Column, written_ms: str, cutoff_ms: int |
     last = marked.groupBy("partition", "__segment").agg(F.max(written_ms).alias("__written"))
     active = F.max("__segment").over(W.partitionBy("partition"))
     keep = last.withColumn("__active", active).where((F.col("__segment") == F.col("__active")) | (F.col("__written") >= cutoff)).select("partition", "__segment")
-    return marked.join(F.broadcast(keep), ["partition", "__segment"], "left_semi").drop("__segment")
+    return marked.join(keep, ["partition", "__segment"], "left_semi").drop("__segment")
 
 
 def recovered(log: DataFrame, sound: Column) -> DataFrame:
@@ -67,7 +68,11 @@ def catch_up(leader: DataFrame, follower: DataFrame, limit: int = 100) -> DataFr
 
 
 class CommitLog:
-    """A log in a directory."""
+    """A log in a directory, with the high watermarks of its partitions in small tables beside it.
+
+    An append leaves a mark until its watermarks are written; where an append was cut short, the next one takes them from the log.
+    Appends come from one writer at a time, the leader.
+    """
 
     def __init__(self, spark: SparkSession, path: str, partitions: int = PARTITIONS, segment_rows: int = SEGMENT_ROWS):
         self.spark, self.path, self.partitions, self.segment_rows = spark, path, partitions, segment_rows
@@ -76,13 +81,34 @@ class CommitLog:
         return self.spark.read.parquet(self.path)
 
     def exists(self) -> bool:
-        jvm = self.spark._jvm
-        return jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(jvm.org.apache.hadoop.fs.Path(self.path))
-
-    def append(self, records: DataFrame, key: Column, order: list[str]) -> None:
-        start = high_watermark(self.read()) if self.exists() else None
-        rows = offsets(records, partition_of(key, self.partitions), order, start)
-        rows.repartition("partition").sortWithinPartitions("partition", "offset").write.mode("append").option("maxRecordsPerFile", self.segment_rows).partitionBy("partition").parquet(self.path)
+        return exists(self.spark, self.path)
+
+    @property
+    def _marks(self) -> str:
+        return f"{self.path.rstrip('/')}.watermarks"
+
+    def high_watermarks(self) -> DataFrame:
+        """(partition, high_watermark) without reading the log, unless an append was cut short."""
+        names = children(self.spark, self._marks)
+        whole = [int(n.partition("=")[2]) for n in names if n.startswith("version=") and exists(self.spark, f"{self._marks}/{n}/_SUCCESS")]
+        if "appending" in names or not whole:
+            return high_watermark(self.read()) if self.exists() else self.spark.createDataFrame([], "partition int, high_watermark long")
+        return self.spark.read.parquet(f"{self._marks}/version={max(whole)}")
+
+    def append(self, records: DataFrame, key: Column, order: list[str], partition: Column | None = None) -> None:
+        """Append records to the partition of their key, or to the one given."""
+        start = materialize(self.high_watermarks(), "watermarks")
+        rows = offsets(records, partition_of(key, self.partitions) if partition is None else partition.cast("int"), order, start)
+        self.spark.range(1).write.mode("overwrite").parquet(f"{self._marks}/appending")
+        # Ranges of (partition, offset), so that as many tasks write as there are, and a file holds a range of offsets.
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        ranged = rows.repartitionByRange(n, "partition", "offset").sortWithinPartitions("partition", "offset")
+        ranged.write.mode("append").option("maxRecordsPerFile", self.segment_rows).partitionBy("partition").parquet(self.path)
+        ends = start.unionByName(high_watermark(rows)).groupBy("partition").agg(F.max("high_watermark").alias("high_watermark"))
+        old = [n for n in children(self.spark, self._marks) if n.startswith("version=")]
+        version = 1 + max((int(n.partition("=")[2]) for n in old), default=0)
+        ends.coalesce(1).write.mode("overwrite").parquet(f"{self._marks}/version={version}")
+        drop_tables(self.spark, [f"{self._marks}/{n}" for n in ("appending", *old)])
 
     def read_stream(self) -> DataFrame:
         return self.spark.readStream.schema(self.read().schema).parquet(self.path)

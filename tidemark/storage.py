@@ -75,6 +75,12 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in files.listStatus(at)) if files.exists(at) else []
 
 
+def move(spark: SparkSession, source: str, target: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    if not path(source).getFileSystem(spark._jsc.hadoopConfiguration()).rename(path(source), path(target)):
+        raise OSError(f"can't move {source} to {target}")
+
+
 def write_once(df: DataFrame, path: str, format: str = "parquet") -> None:
     """Write a folder unless it has been written whole before, so that work which runs again adds nothing."""
     if not exists(df.sparkSession, f"{path}/_SUCCESS"):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog import query
 from tidemark.functions.time import Tumbling
 from tidemark.operators.sinks import first_writes
-from tidemark.queries import _DUPLICATES, _E, _WM, HOUR, duplicates, events
+from tidemark.queries import _DUPLICATES, _E, _WM, DAY, HOUR, WRITES_WITH_TTL, duplicates, events
 from tidemark.sources.backends import LogBackend
 from tidemark.storage import new_path
 from tidemark.streaming.late import LateSplitter
@@ -63,6 +63,16 @@ def dedup_stream(spark, d):
     return spark.read.parquet(path).select("event_id", "token", "seq")
 
 
+@query("dedup_ttl_stream", WRITES_WITH_TTL)
+def dedup_ttl_stream(spark, d):
+    """Tokens are forgotten a day after their last write."""
+    path = new_path(spark, "dedup-ttl-out")
+    rows = events(spark, d).select("event_id", "user_id", "event_type", "ms", F.concat_ws("-", "user_id", "event_type").alias("key"))
+    writer = as_stream(spark, rows, "event_id", "dedup-ttl-in").writeStream.foreachBatch(IdempotentTable("ttl", path, "key", "event_id", DAY, "ms", merge_every=2))
+    writer.option("checkpointLocation", new_path(spark, "dedup-ttl-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path).select("user_id", "event_type", "ms")
+
+
 @query("stateful_stream", f"WITH e AS ({_E}) SELECT user_id, list_reduce(list_prepend(7::BIGINT, list(cents ORDER BY arr, event_id)), lambda s, x: (s * 31 + x) % 1000003) AS state, count(*) AS n FROM e GROUP BY 1")
 def stateful_stream(spark, d):
     path = new_path(spark, "state-out")
