@@ -18,6 +18,38 @@ class Server(socketserver.ThreadingTCPServer):
     def __init__(self):
         super().__init__(("127.0.0.1", 0), Handler)
         self.streams, self.lock = {}, threading.Lock()
+        self.groups = {}  # (stream, group) -> [position, {id: [consumer, delivered at, deliveries]}]
+
+    def group(self, name, rest, streams):
+        now = time.time() * 1000
+        if name == "XGROUP":
+            key = (rest[1], rest[2])
+            if key in self.groups:
+                return RuntimeError("BUSYGROUP Consumer Group name already exists")
+            self.groups[key] = [id_of(rest[3]), {}]
+            return "OK"
+        if name == "XREADGROUP":
+            group, consumer, count, stream = rest[1], rest[2], int(rest[4]), rest[6]
+            state = self.groups[stream, group]
+            new = [[i, f] for i, f in streams.get(stream, []) if id_of(i) > state[0]][:count]
+            for i, _ in new:
+                state[0] = id_of(i)
+                state[1][i] = [consumer, now, 1]
+            return [[stream, new]] if new else None
+        state = self.groups[rest[0], rest[1]]
+        if name == "XACK":
+            return sum(state[1].pop(i, None) is not None for i in rest[2:])
+        if name == "XPENDING":
+            rows = [[i, c, int(now - at), n] for i, (c, at, n) in sorted(state[1].items(), key=lambda x: id_of(x[0])) if now - at >= int(rest[3])]
+            return rows[: int(rest[6])]
+        if name == "XCLAIM":
+            out = []
+            for i in rest[4:]:
+                if i in state[1] and now - state[1][i][1] >= int(rest[3]):
+                    state[1][i] = [rest[2], now, state[1][i][2] + 1]
+                    out.append([i, dict(streams[rest[0]])[i]])
+            return out
+        return None
 
 
 class Handler(socketserver.StreamRequestHandler):
@@ -44,12 +76,16 @@ class Handler(socketserver.StreamRequestHandler):
                 return [[i, f] for i, f in entries if id_of(i) > low and (high == "+" or id_of(i) <= id_of(high))][:count]
             if name == "XREVRANGE":
                 return [[i, f] for i, f in entries[-1:]]
-        return None
+            return self.server.group(name, rest, self.server.streams)
 
 
 def encode(x):
     if isinstance(x, list):
         return b"*%d\r\n" % len(x) + b"".join(map(encode, x))
+    if isinstance(x, int):
+        return b":%d\r\n" % x
+    if isinstance(x, RuntimeError):
+        return b"-%b\r\n" % str(x).encode()
     return b"$-1\r\n" if x is None else b"$%d\r\n%b\r\n" % (len(x.encode()), x.encode())
 
 
@@ -96,3 +132,25 @@ def test_batch_and_stream(spark, server, tmp_path):
     assert seen.agg(F.sum("rows")).first()[0] == 1203 and seen.where("status = 0").count() == 2
     empty = topic.with_topic("none")
     assert empty.read().count() == 0
+
+
+def test_groups_acknowledge_and_claim(spark, server):
+    """A consumer that dies leaves its entries pending; another claims them after the idle time, and every entry is acknowledged once."""
+    topic = backends.open_topic(spark, "orders", "g", "redis", host="127.0.0.1", port=str(server.server_address[1]))
+    topic.append(spark.range(25).select(F.col("id").alias("event_id")).coalesce(1))
+    topic.ensure_group()
+    topic.ensure_group()
+    first = topic.read_group("a").collect()
+    assert len(first) == 10  # the setting's batch size
+    second = topic.read_group("b", 100)
+    ids = [r.msg_id for r in first] + [r.msg_id for r in second.collect()]
+    assert len(set(ids)) == 25 and topic.read_group("b").count() == 0
+    assert topic.ack(second) == 15 and topic.ack(second) == 0
+    left = topic.pending().collect()
+    assert [r.msg_id for r in left] == [r.msg_id for r in first] and {(r.consumer, r.deliveries) for r in left} == {("a", 1)}
+    assert topic.claim_stuck("b").count() == 0  # not idle for a minute
+    time.sleep(0.05)
+    taken = topic.claim_stuck("b", min_idle_ms=20, count=4)
+    assert [r.msg_id for r in taken.collect()] == [r.msg_id for r in first[:4]] and taken.first().fields["event_id"] == "0"
+    assert {(r.consumer, r.deliveries) for r in topic.pending().collect()} == {("a", 1), ("b", 2)}
+    assert topic.ack(topic.pending()) == 10 and topic.pending().count() == 0

@@ -311,3 +311,33 @@ def test_subscription_options_reach_the_source(spark, tmp_path):
     stream.subscribe(maxFilesPerTrigger="1")(lambda batch: seen.append(batch.count()))
     stream.run()
     assert seen == [1, 1, 1]
+
+
+def test_settings_make_a_stream_and_traces_go_on(spark, tmp_path):
+    settings = Settings(backend="log", path=str(tmp_path / "topics"), checkpoints=str(tmp_path / "ck"), max_retries=1)
+    stream = Stream.configured(spark, "in", "g", SCHEMA, settings)
+    assert stream.backend.location == str(tmp_path / "topics" / "in") and stream.max_retries == 1 and stream.checkpoints == str(tmp_path / "ck")
+    rows = spark.range(3).select(F.col("id").alias("event_id"), F.lit("t").alias("event_type"), F.col("id").alias("ms"))
+    stream.emit(rows, "out", trace=True)
+    first = spark.read.parquet(str(tmp_path / "topics" / "out"))
+    stream.emit(first, "next", trace=True)
+    a = {r.event_id: r.traceparent.split("-") for r in first.collect()}
+    b = {r.event_id: r.traceparent.split("-") for r in spark.read.parquet(str(tmp_path / "topics" / "next")).collect()}
+    assert len({x[1] for x in a.values()}) == 3 and all(a[i][1] == b[i][1] and a[i][2] != b[i][2] for i in a)
+
+
+def test_log_lines_as_json():
+    import io
+    import logging
+
+    from tidemark.logs import set_up_logging
+
+    out = io.StringIO()
+    set_up_logging("json", out)
+    try:
+        raise KeyError("x")
+    except KeyError:
+        logging.getLogger("tidemark.test").warning("it is %s", "late", exc_info=True)
+    line = json.loads(out.getvalue())
+    assert line["message"] == "it is late" and line["level"] == "WARNING" and "KeyError" in line["exception"]
+    set_up_logging("text")

@@ -37,6 +37,13 @@ def parse_message_id(msg_id: Column) -> Column:
     return F.struct(F.get(parts, F.lit(0)).cast("long").alias("hi"), F.coalesce(F.get(parts, F.lit(1)).cast("long"), F.lit(0)).alias("lo"))
 
 
+def traceparent(parent: Column | None = None) -> Column:
+    """A trace context in W3C form: the parent's trace with a new span, or a new trace where there is none."""
+    span, fresh = F.substring(F.md5(F.uuid().cast("binary")), 1, 16), F.md5(F.uuid().cast("binary"))
+    trace = fresh if parent is None else F.coalesce(F.when(parent.rlike("^00-[0-9a-f]{32}-[0-9a-f]{16}-[0-9a-f]{2}$"), F.get(F.split(parent, "-"), F.lit(1))), fresh)
+    return F.concat(F.lit("00-"), trace, F.lit("-"), span, F.lit("-01"))
+
+
 def backoff_seconds(attempts: Column) -> Column:
     """Delay before the next try, without jitter: 1, 2, 4, ... seconds."""
     return F.pow(F.lit(2.0), attempts - 1)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.keys import partition_of
+
 
 def latest(puts: DataFrame, keys: list[str], seq: str, deleted: str | None = None) -> DataFrame:
     """The last put of each key by ``seq``; keys whose last put is a tombstone are gone."""
@@ -30,6 +32,18 @@ def get(wanted: DataFrame, state: DataFrame, keys: list[str], value: str, defaul
     return found.withColumn(value, F.when(F.col("__there"), F.col("__value")).otherwise(default)).drop("__value", "__there")
 
 
+def lookup(wanted: DataFrame, state: DataFrame, key: str, value: str, partitions: int, leases: DataFrame | None = None) -> DataFrame:
+    """(key, partition, node_id, value, found) of each wanted key: where its state lives, by the leases of partitions, and what it is.
+
+    A key without state is found = false; a partition that nobody leads has no node.
+    """
+    out = wanted.select(key).withColumn("partition", partition_of(F.col(key), partitions))
+    out = out.join(state.select(key, F.col(value).alias("value"), F.lit(True).alias("found")), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    if leases is None:
+        return out.withColumn("node_id", F.lit(None).cast("string"))
+    return out.join(leases.select("partition", "node_id"), "partition", "left")
+
+
 def running(df: DataFrame, keys: list[str], order: list[str], name: str, aggregate: Column) -> DataFrame:
     """A per-key aggregate after each row, in order."""
     return df.withColumn(name, aggregate.over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))

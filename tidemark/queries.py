@@ -246,6 +246,13 @@ def watermark_sliding_late_copies(spark, d):
 
 # Aggregation and state
 
+AS_OF = 1_706_400_000_000
+NOW = AS_OF
+_CLAIMS = f"SELECT user_id % 16 AS partition, event_id % 5 AS node_id, ms AS claimed_ms, ms + 7200000 * (1 + event_id % 7) AS expires_ms FROM ({_E})"
+_LEASES = f"""SELECT partition, h.n AS node_id, h.x AS expires_ms FROM (SELECT partition, list_reduce(list_prepend({{'c': 0::BIGINT, 'n': -1::BIGINT, 'x': 0::BIGINT}},
+    list({{'c': claimed_ms::BIGINT, 'n': node_id::BIGINT, 'x': expires_ms::BIGINT}} ORDER BY claimed_ms, node_id, expires_ms)), lambda s, r: CASE WHEN s.x <= r.c OR s.n = r.n THEN r ELSE s END) AS h
+    FROM ({_CLAIMS}) WHERE claimed_ms <= {NOW} GROUP BY partition) WHERE h.x > {NOW}"""
+
 
 @query("fold_ordered", f"WITH e AS ({_E}) SELECT user_id, list_reduce(list_prepend(7::BIGINT, list(cents ORDER BY arr, event_id)), lambda s, x: (s * 31 + x) % 1000003) AS state FROM e GROUP BY 1")
 def fold_ordered(spark, d):
@@ -295,7 +302,6 @@ def state_put_batch(spark, d):
     return state.put_batch(now, more, ["user_id"], "seq").select("user_id", "cents")
 
 
-AS_OF = 1_706_400_000_000
 
 
 @query("state_ttl_asof", f"SELECT user_id, seq FROM ({_LAST}) WHERE ttl_s IS NULL OR {AS_OF} <= put_ms + ttl_s * 1000")
@@ -309,6 +315,18 @@ def state_get_default(spark, d):
     return state.get(wanted, state.latest(puts(spark, d), ["user_id"], "seq"), ["user_id"], "cents", F.lit(-1).cast("long")).select("user_id", "cents")
 
 
+@query(
+    "state_lookup",
+    f"""WITH c AS ({_CRC_TABLE}), k AS (SELECT c_custkey AS user_id, list_transform(range(1, strlen(c_custkey::VARCHAR) + 1), lambda i: ord(substr(c_custkey::VARCHAR, i, 1))::BIGINT) AS bytes FROM customer),
+p AS (SELECT user_id, (xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1])), 4294967295::BIGINT) % 16)::INT AS partition FROM k, c)
+SELECT p.user_id, p.partition, n.node_id, l.cents AS value, l.user_id IS NOT NULL AS found FROM p LEFT JOIN ({_LAST}) l ON l.user_id = p.user_id LEFT JOIN ({_LEASES}) n ON n.partition = p.partition""",
+)
+def state_lookup(spark, d):
+    wanted = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
+    leases = cluster.live_leases(claims(spark, d), NOW)
+    return state.lookup(wanted, state.latest(puts(spark, d), ["user_id"], "seq"), "user_id", "cents", 16, leases).select("user_id", "partition", "node_id", "value", "found")
+
+
 @query("state_keys", f"SELECT 'events:' || user_id || ':' || n AS key FROM (SELECT user_id, count(*) AS n FROM ({_E}) GROUP BY 1)")
 def state_keys(spark, d):
     return events(spark, d).groupBy("user_id").agg(F.count("*").alias("n")).select(F.concat_ws(":", F.lit("events"), K.key_or_default(F.col("user_id")), F.col("n")).alias("key"))
@@ -568,12 +586,6 @@ def replica_catchup(spark, d):
 
 # Cluster
 
-NOW = AS_OF
-_CLAIMS = f"SELECT user_id % 16 AS partition, event_id % 5 AS node_id, ms AS claimed_ms, ms + 7200000 * (1 + event_id % 7) AS expires_ms FROM ({_E})"
-_LEASES = f"""SELECT partition, h.n AS node_id, h.x AS expires_ms FROM (SELECT partition, list_reduce(list_prepend({{'c': 0::BIGINT, 'n': -1::BIGINT, 'x': 0::BIGINT}},
-    list({{'c': claimed_ms::BIGINT, 'n': node_id::BIGINT, 'x': expires_ms::BIGINT}} ORDER BY claimed_ms, node_id, expires_ms)), lambda s, r: CASE WHEN s.x <= r.c OR s.n = r.n THEN r ELSE s END) AS h
-    FROM ({_CLAIMS}) WHERE claimed_ms <= {NOW} GROUP BY partition) WHERE h.x > {NOW}"""
-
 
 def claims(spark, d):
     e = events(spark, d)

@@ -10,15 +10,17 @@ import logging
 import os
 import tempfile
 from abc import ABC, abstractmethod
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from importlib.metadata import entry_points
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.delivery import CLAIM
 from tidemark.settings import Settings
-from tidemark.sources.redis_stream import RedisSource
+from tidemark.sources.redis_stream import PAGE, SCHEMA, Client, RedisSource
 from tidemark.storage import one_machine, write_once
 from tidemark.workers import importable
 
@@ -191,6 +193,44 @@ class RedisBackend(Backend):
         rows.select(F.lit(None).cast("string").alias("msg_id"), fields.alias("fields")).write.format(RedisSource.name()).options(**self._source()).mode("append").save()
 
 
+    # Consumer groups: a batch of bounded size is read, handled and acknowledged by one consumer.
+
+    def ensure_group(self, start: str = "0") -> None:
+        with Client(self.options) as client:
+            client.ensure_group(self.topic, self.group, start)
+
+    def _frame(self, entries: list) -> DataFrame:
+        return self.spark.createDataFrame(entries, SCHEMA)
+
+    def read_group(self, consumer: str, count: int | None = None) -> DataFrame:
+        """The group's next entries, ``count`` (the setting's batch size) at most."""
+        with Client(self.options) as client:
+            return self._frame(client.read_group(self.topic, self.group, consumer, count or Settings.load().batch_size))
+
+    def ack(self, handled: DataFrame) -> int:
+        """Acknowledge the rows' ``msg_id``, from the executors."""
+        options, topic, group = dict(self.options), self.topic, self.group
+
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                with Client(options) as client:
+                    yield pa.RecordBatch.from_arrays([pa.array([client.ack(topic, group, part.column(0).to_pylist()) if part.num_rows else 0], pa.int64())], names=["n"])
+
+        importable(self.spark)
+        return handled.select("msg_id").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+    def pending(self, min_idle_ms: int = 0, count: int = PAGE) -> DataFrame:
+        with Client(self.options) as client:
+            return self.spark.createDataFrame(client.pending(self.topic, self.group, min_idle_ms, count), "msg_id string, consumer string, idle_ms long, deliveries long")
+
+    def claim_stuck(self, consumer: str, min_idle_ms: int | None = None, count: int = CLAIM) -> DataFrame:
+        """Entries that consumers have left for the idle time (the setting's), taken over: what a crashed consumer had."""
+        idle = Settings.load().min_idle_ms if min_idle_ms is None else min_idle_ms
+        with Client(self.options) as client:
+            ids = [x[0] for x in client.pending(self.topic, self.group, idle, count)]
+            return self._frame(client.claim(self.topic, self.group, consumer, idle, ids))
+
+
 _BACKENDS: dict[str, type[Backend]] = {"file": FileBackend, "log": LogBackend, "memory": MemoryBackend, "kafka": KafkaBackend, "redis": RedisBackend}
 _loaded = False
 

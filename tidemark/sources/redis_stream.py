@@ -70,17 +70,45 @@ class Client:
         """Entries with ids in (after, until], a page at a time."""
         while True:
             page = self.call("XRANGE", stream, "(" + text_of(after), "+" if until is None else text_of(until), "COUNT", str(PAGE)) or []
-            for msg_id, flat in page:
-                yield msg_id, dict(zip(flat[::2], flat[1::2], strict=True))
+            yield from map(_entry, page)
             if len(page) < PAGE:
                 return
             after = id_of(page[-1][0])
 
+    def ensure_group(self, stream: str, group: str, start: str = "0") -> None:
+        """Make a consumer group that reads from an id on ("0": all, "$": what comes from now on); one that exists stays as it is."""
+        try:
+            self.call("XGROUP", "CREATE", stream, group, start, "MKSTREAM")
+        except RuntimeError as reply:
+            if not str(reply).startswith("BUSYGROUP"):
+                raise
+
+    def read_group(self, stream: str, group: str, consumer: str, count: int) -> list[tuple[str, dict[str, str]]]:
+        """The next entries that no consumer of the group has; they are pending until acknowledged."""
+        reply = self.call("XREADGROUP", "GROUP", group, consumer, "COUNT", str(count), "STREAMS", stream, ">") or []
+        return [_entry(x) for _, page in reply for x in page]
+
+    def ack(self, stream: str, group: str, ids: list[str]) -> int:
+        return sum(int(self.call("XACK", stream, group, *ids[i : i + PAGE])) for i in range(0, len(ids), PAGE))
+
+    def pending(self, stream: str, group: str, min_idle_ms: int, count: int) -> list[tuple[str, str, int, int]]:
+        """(id, consumer, idle ms, deliveries) of entries that were delivered and not acknowledged for so long, the oldest first."""
+        return [(i, c, int(idle), int(n)) for i, c, idle, n in self.call("XPENDING", stream, group, "IDLE", str(min_idle_ms), "-", "+", str(count)) or []]
+
+    def claim(self, stream: str, group: str, consumer: str, min_idle_ms: int, ids: list[str]) -> list[tuple[str, dict[str, str]]]:
+        """Take pending entries over; those that another consumer was quicker with don't come."""
+        return [_entry(x) for x in (self.call("XCLAIM", stream, group, consumer, str(min_idle_ms), *ids) or [] if ids else []) if x]
+
     def last(self, stream: str) -> tuple[int, int]:
         page = self.call("XREVRANGE", stream, "+", "-", "COUNT", "1") or []
         return id_of(page[0][0]) if page else (0, 0)
 
 
+def _entry(reply: list) -> tuple[str, dict[str, str]]:
+    msg_id, flat = reply
+    return msg_id, dict(zip(flat[::2], flat[1::2], strict=True))
+
+
 class IdRange(InputPartition):
     def __init__(self, after: tuple[int, int], until: tuple[int, int]):
         super().__init__((after, until))

@@ -26,10 +26,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.functions.keys import traceparent
 from tidemark.functions.time import Assigner
+from tidemark.logs import set_up_logging
 from tidemark.operators.delivery import MAX_RETRIES, dead_letters
 from tidemark.operators.validation import GENERIC, validate_split
-from tidemark.sources.backends import Backend
+from tidemark.settings import Settings
+from tidemark.sources.backends import Backend, open_topic
 from tidemark.storage import children, write_once
 from tidemark.streaming.late import LateSplitter
 from tidemark.workers import importable
@@ -85,8 +88,18 @@ class Stream:
         self.subscribe(topic)(lambda batch, batch_id: splitter(batch, batch_id))
         return splitter
 
-    def emit(self, rows: DataFrame, topic: str | None = None) -> None:
-        """Append rows to a topic; a missing event type becomes GenericEvent."""
+    @classmethod
+    def configured(cls, spark: SparkSession, topic: str, group: str, schema: T.StructType | None = None, settings: Settings | None = None) -> Stream:
+        """A stream over the backend, checkpoints and retries of the settings."""
+        settings = settings or Settings.load()
+        set_up_logging(settings.log_format)
+        backend = open_topic(spark, topic, group, None if settings == Settings.load() else settings.backend, schema, **settings.options(settings.backend))
+        return cls(spark, backend, settings.checkpoints, settings.max_retries)
+
+    def emit(self, rows: DataFrame, topic: str | None = None, trace: bool = False) -> None:
+        """Append rows to a topic; a missing event type becomes GenericEvent. With ``trace`` they carry a trace context, which goes on from the one that they have."""
+        if trace:
+            rows = rows.withColumn("traceparent", traceparent(F.col("traceparent") if "traceparent" in rows.columns else None))
         kind = F.coalesce("event_type", F.lit(GENERIC)) if "event_type" in rows.columns else F.lit(GENERIC)
         target = self.backend if topic is None else self.backend.with_topic(topic)
         target.append(rows.withColumn("event_type", kind))
