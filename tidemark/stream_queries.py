@@ -6,16 +6,21 @@ the table that it wrote.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import cli
 from tidemark.catalog import query
 from tidemark.functions.time import Tumbling
 from tidemark.operators.sinks import first_writes
 from tidemark.queries import _DUPLICATES, _E, _WM, DAY, HOUR, WRITES_WITH_TTL, duplicates, events
-from tidemark.sources.backends import LogBackend
+from tidemark.sources.backends import FileBackend, LogBackend, open_topic, register_backend
+from tidemark.sources.commit_log import CommitLog
 from tidemark.storage import new_path
 from tidemark.streaming.late import LateSplitter
+from tidemark.streaming.monitor import Monitor
 from tidemark.streaming.sinks import IdempotentTable
 from tidemark.streaming.stateful import keyed_fold
 from tidemark.streaming.stream import Stream
@@ -117,3 +122,81 @@ def retry_stream(spark, d):
 
     stream.run()
     return LogBackend(spark, "events-dlq", "readers", path=path).read().select("event_id", "_error", "_original_stream")
+
+
+_TOPIC = "SELECT event_id, user_id, event_type FROM events"
+
+
+def _rows(spark, d):
+    return events(spark, d).select("event_id", "user_id", "event_type")
+
+
+@query("file_topic", _TOPIC)
+def file_topic(spark, d):
+    """Events appended to an NDJSON topic in two parts, one of them twice under one key."""
+    topic = FileBackend(spark, "events", "g", _rows(spark, d).schema, path=new_path(spark, "file"))
+    topic.append(_rows(spark, d).where("event_id % 2 = 0"))
+    for _ in range(2):
+        topic.append_once(_rows(spark, d).where("event_id % 2 = 1"), "odd")
+    return topic.read()
+
+
+@query("plugin_topic", f"SELECT event_type, count(*) AS n FROM ({_TOPIC}) GROUP BY 1")
+def plugin_topic(spark, d):
+    """A backend that a plugin registers, opened by its name, with another topic of the same place."""
+    register_backend("registered", LogBackend)
+    main = open_topic(spark, "events", "g", "registered", path=new_path(spark, "plugin"))
+    other = main.with_topic("others")
+    main.append(_rows(spark, d).where("user_id % 2 = 0"))
+    other.append(_rows(spark, d).where("user_id % 2 = 1"))
+    return main.read().unionByName(other.read()).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("dlq_purge", "SELECT count(*) FILTER (event_type = 'error') AS before, 0::BIGINT AS after FROM events")
+def dlq_purge(spark, d):
+    path = new_path(spark, "purge")
+    _rows(spark, d).where("event_type = 'error'").write.parquet(path)
+    before = spark.read.parquet(path).count()
+    cli.dlq_purge(spark, path)
+    return spark.read.parquet(path).agg(F.count("*").alias("after")).withColumn("before", F.lit(before))
+
+
+@query("log_rotation", "SELECT user_id % 4 AS partition, count(*) AS n, true AS rotated FROM events GROUP BY 1")
+def log_rotation(spark, d):
+    """Segments of at most 50 rows, each a range of offsets of its own."""
+    log = CommitLog(spark, new_path(spark, "segments", listed=False), segment_rows=50)
+    log.append(_rows(spark, d), F.col("user_id"), ["event_id"], F.col("user_id") % 4)
+    files = log.read().groupBy("partition", F.input_file_name().alias("file")).agg(F.count("*").alias("n"), F.min("offset").alias("low"), F.max("offset").alias("high"))
+    sound = (F.max("n") <= 50) & (F.sum(F.col("high") - F.col("low") + 1) == F.sum("n")) & (F.count("*") > 1)
+    return files.groupBy("partition").agg(F.sum("n").alias("n"), sound.alias("rotated"))
+
+
+@query("group_resume", f"SELECT event_id, event_id % 2 AS run FROM ({_TOPIC})")
+def group_resume(spark, d):
+    """A group that starts again goes on behind what it has handled; each event is handled once."""
+    path = new_path(spark, "resume")
+    topic, out = LogBackend(spark, "events", "g", _rows(spark, d).schema, path=path), LogBackend(spark, "handled", "g", path=path)
+    for run in range(2):
+        topic.append(_rows(spark, d).where(F.col("event_id") % 2 == run))
+        stream = Stream(spark, topic, f"{path}/checkpoints")
+
+        @stream.subscribe()
+        def keep(batch, batch_id):
+            out.append_once(batch.select("event_id", F.lit(run).cast("long").alias("run")), f"run-{run}-{batch_id}")  # noqa: B023
+
+        stream.run()
+    return out.read()
+
+
+@query("monitor_rows", "SELECT count(*) AS rows, 0::BIGINT AS dropped_late FROM events")
+def monitor_rows(spark, d):
+    """Rows that the queries of a stream report."""
+    path, monitor = new_path(spark, "monitor"), Monitor().install(spark)
+    query = as_stream(spark, _rows(spark, d), "event_id", "monitor-in").writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}.ck").trigger(availableNow=True).start()
+    query.awaitTermination()
+    for _ in range(100):
+        if any(not running for running in monitor.running.values()):
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(monitor)
+    return monitor.table(spark).where(F.col("batch_id") >= 0).agg(F.sum("rows").alias("rows"), F.sum("dropped_late").alias("dropped_late"))
