@@ -54,8 +54,8 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total += np.bincount((shingles(text) >> np.uint64(48)).astype(np.int64), minlength=BUCKETS) if text else 0
+            found = [shingles(text) >> np.uint64(48) for text in batch.column(0).to_pylist()]
+            total += np.bincount(np.concatenate([*found, np.zeros(0, np.uint64)]).astype(np.int64), minlength=BUCKETS)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], names=["bucket", "n"])
 
@@ -106,11 +106,14 @@ def sets(texts: DataFrame) -> DataFrame:
     return map_rows(texts, run, "uid long, hashes array<long>")
 
 
-def similar(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, from their whole sets."""
+def similar(pairs: DataFrame, texts: DataFrame, turn: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, from their whole sets; only texts in a pair are read again."""
+    pairs = materialize(pairs.distinct(), f"near-pairs-{turn}")
+    nodes = materialize(pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct(), f"near-nodes-{turn}")
+    hashes = materialize(sets(texts.join(sized(nodes), "uid", "left_semi")), f"near-sets-{turn}")
     of = lambda c: hashes.select(F.col("uid").alias(c), F.col("hashes").alias(f"set_{c}")).hint("merge")
     both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("common"), (F.size("set_a") + F.size("set_b")).alias("total"))
-    return both.where(F.col("common") >= SIMILARITY * (F.col("total") - F.col("common")) - 1e-9).select("a", "b")
+    return materialize(both.where(F.col("common") >= SIMILARITY * (F.col("total") - F.col("common")) - 1e-9).select("a", "b"), f"near-links-{turn}")
 
 
 def roomy(n_a: Column, at_a: Column, n_b: Column, at_b: Column) -> Column:
@@ -120,11 +123,9 @@ def roomy(n_a: Column, at_a: Column, n_b: Column, at_b: Column) -> Column:
 
 def connected(classes: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, root) of the classes (uid, n, keys) that have a near-copy."""
-    members = classes.select("uid", "n", F.posexplode("keys").alias("at", "key"))
+    members = classes.select("uid", F.col("n").cast("int").alias("n"), F.posexplode("keys").alias("at", "key"))
     shared = materialize(members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"), "near-shared")
     held = materialize(members.join(sized(shared), "key", "left_semi").withColumn("root", F.col("uid")), "near-keys")
-    nodes = materialize(held.select("uid").distinct(), "near-nodes")
-    hashes = materialize(sets(texts.join(sized(nodes), "uid", "left_semi")), "near-sets")
     links, turn = None, 0
     while True:
         turn += 1
@@ -132,8 +133,8 @@ def connected(classes: DataFrame, texts: DataFrame) -> DataFrame:
         heads = held.groupBy("key").agg(first, F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
         heads = materialize(heads.select("key", F.col("h.at").alias("at_h"), F.col("h.uid").alias("uid_h"), F.col("h.n").alias("n_h"), F.col("h.root").alias("root_h")), f"near-heads-{turn}")
         open_ = held.join(sized(heads, 3), "key").where("uid != uid_h")
-        pairs = open_.where((F.col("root") != F.col("root_h")) & roomy(F.col("n"), F.col("at"), F.col("n_h"), F.col("at_h"))).select(F.col("uid_h").alias("a"), F.col("uid").alias("b")).distinct()
-        new = materialize(similar(materialize(pairs, f"near-pairs-{turn}"), hashes), f"near-links-{turn}")
+        pairs = open_.where((F.col("root") != F.col("root_h")) & roomy(F.col("n"), F.col("at"), F.col("n_h"), F.col("at_h"))).select(F.col("uid_h").alias("a"), F.col("uid").alias("b"))
+        new = similar(pairs, texts, turn)
         links = new if links is None else links.unionByName(new)
         labels, found = components(links), new.count()
         left = open_.select("key", "uid", "n", "at").join(sized(labels), F.col("uid") == F.col("node"), "left")
@@ -144,8 +145,7 @@ def connected(classes: DataFrame, texts: DataFrame) -> DataFrame:
     longer = (F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.uid") < F.col("b.uid")))
     apart = (F.col("a.root") != F.col("b.root")) & longer & roomy(F.col("a.n"), F.col("a.at"), F.col("b.n"), F.col("b.at"))
     short = roomy(F.col("b.n"), F.col("b.at"), F.col("b.n"), F.col("b.at"))  # the shorter set must share from an earlier place on
-    pairs = materialize(a.join(b.where(short), (F.col("a.key") == F.col("b.key")) & apart).select(F.col("a.uid").alias("a"), F.col("b.uid").alias("b")).distinct(), "near-rest")
-    new = materialize(similar(pairs, hashes), "near-links")
+    new = similar(a.join(b.where(short), (F.col("a.key") == F.col("b.key")) & apart).select(F.col("a.uid").alias("a"), F.col("b.uid").alias("b")), texts, 0)
     return labels if new.isEmpty() else components(links.unionByName(new))
 
 
