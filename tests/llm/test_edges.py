@@ -1,5 +1,7 @@
 """Every query over odd tables: nulls in every column, empty and very long texts, ties, repeated rows, other columns with clashing names; and over empty ones."""
 
+import hashlib
+
 import pytest
 
 from tidemark.llm.queries import queries
@@ -42,6 +44,24 @@ def test_odd_tables(spark, odd, name):
         assert sorted({(r.doc_id is None, r.doc_id) for r in found}, key=str) == sorted({(r.doc_id is None, r.doc_id) for r in spark.read.parquet(f"{path}/documents.parquet").collect()}, key=str)
     else:
         assert len(found) == rows["pages" if name.startswith("op1_") else "documents"]
+    for text in (None, "", " \n\t"):  # what docstrings define for texts without a word
+        want = {
+            "op2": {"n_words": 0, "word_chars": 0, "n_dup_lines": 0, "n_repeat_words": 0, "base_failed": True, "kept": False},
+            "op4": {"n_email": 0, "n_ip": 0, "n_card": 0, "n_phone": 0, "spans": "", "base_sha256": hashlib.sha256(b"").hexdigest()},
+            "op5": {"n_words": 0, "n_base": 0, "first_word": None, "last_word": None, "base_labels": "", "labels": "", "score": 0.0},
+            "op6": {"fingerprint": "0" * 16, "component_id": 0},
+            "op8": {"size": 0, "taken": 0},
+            "op9": {"n_bytes": len(text or ""), "payload_bytes": 576},
+            "op10": {"lang_pred": "und", "score": 0.0},
+        }.get(name.split("_")[0], {})
+        for r in found:
+            if want and r.doc_id == TEXTS.index(text):
+                assert {k: r[k] for k in want} == want
+    if name == "op3_pairwise_quality":
+        scores = {r.doc_id: r.score for r in found}
+        assert all(0 <= x <= 1 for x in scores.values()) and scores[0] == scores[1] and scores[13] == scores[14]
+    if name.startswith("op1_"):
+        assert {(r.page_id, r.record_type, r.refers_to) for r in found if r.page_id in (0, 1, 13, 14)} == {(0, "response", None), (1, "revisit", 0), (13, "response", None), (14, "revisit", 13)}
     if name.startswith(("op3", "op8", "op10")):  # those that draw samples
         assert sorted(map(str, queries()[name](spark, path).collect())) == sorted(map(str, found))
 
