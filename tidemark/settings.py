@@ -1,4 +1,4 @@
-"""Options from the environment, with defaults."""
+"""Options from the environment, with defaults. Where no folder is named, it lies in the one that driver and executors share."""
 
 from __future__ import annotations
 
@@ -11,9 +11,9 @@ PREFIX = "TIDEMARK_"
 @dataclass(frozen=True)
 class Settings:
     backend: str = "memory"
-    path: str = "/tmp/tidemark"
+    path: str = ""
     servers: str = ""
-    checkpoints: str = "/tmp/tidemark/checkpoints"
+    checkpoints: str = ""
     batch_size: int = 10
     max_retries: int = 3
     min_idle_ms: int = 60_000
@@ -24,7 +24,7 @@ class Settings:
     def options(self, backend: str) -> dict[str, str]:
         """What a backend takes from the settings."""
         if backend in ("file", "log"):
-            return {"path": self.path}
+            return {"path": self.path} if self.path else {}
         if backend == "kafka":
             return {"servers": self.servers}
         if backend == "redis":

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from tidemark.operators.delivery import CLAIM
 from tidemark.settings import Settings
 from tidemark.sources.redis_stream import PAGE, SCHEMA, Client, RedisSource
-from tidemark.storage import one_machine, write_once
+from tidemark.storage import one_machine, shared_dir, write_once
 from tidemark.workers import importable
 
 log = logging.getLogger(__name__)
@@ -114,12 +114,18 @@ class LogBackend(Backend):
 
 
 class MemoryBackend(Backend):
-    """Rows kept by the driver's process, for tests and examples; topics are shared within a process. A stream reads the files of
-    ``spool``, a temporary folder that every append is written to as well, so it works on this machine only."""
+    """Rows kept by the driver's process, for tests and examples; topics are shared within a process. Where all tasks run in that
+    process, appends are written to a temporary folder as well, for a stream to read; on a cluster there is none."""
 
     topics: dict[str, list[DataFrame]] = {}
     keys: set[tuple[str, str]] = set()
-    spool = tempfile.mkdtemp(prefix="tidemark-memory-")
+    folder: str | None = None
+
+    @property
+    def location(self) -> str:
+        if MemoryBackend.folder is None:
+            MemoryBackend.folder = tempfile.mkdtemp(prefix="tidemark-memory-")
+        return f"{MemoryBackend.folder}/{self.topic}"
 
     def read(self) -> DataFrame:
         parts = self.topics.get(self.topic, [])
@@ -136,12 +142,13 @@ class MemoryBackend(Backend):
         schema = self.schema or self.read().schema
         if not schema.fields:
             raise ValueError(f"the topic {self.topic!r} has neither a schema nor a row to take it from")
-        os.makedirs(f"{self.spool}/{self.topic}", exist_ok=True)
-        return self.spark.readStream.options(**options).schema(schema).parquet(f"file://{self.spool}/{self.topic}")
+        os.makedirs(self.location, exist_ok=True)
+        return self.spark.readStream.options(**options).schema(schema).parquet(f"file://{self.location}")
 
     def append(self, rows: DataFrame) -> None:
         held = self.spark.createDataFrame(rows.collect(), rows.schema)
-        held.coalesce(1).write.mode("append").parquet(f"file://{self.spool}/{self.topic}")
+        if one_machine(self.spark):
+            held.coalesce(1).write.mode("append").parquet(f"file://{self.location}")
         self.topics.setdefault(self.topic, []).append(held)
 
     def append_once(self, rows: DataFrame, key: str) -> None:
@@ -296,7 +303,10 @@ def open_topic(spark: SparkSession, topic: str | None, group: str | None, format
         kind = get_backend(name)
         if kind is None:
             raise ValueError(f"no backend named {name!r}")
-        return kind(spark, topic, group, schema, **{**settings.options(name), **options})
+        given = {**settings.options(name), **options}
+        if issubclass(kind, FileBackend | LogBackend) and "path" not in given:
+            given["path"] = f"{shared_dir(spark)}/topics"
+        return kind(spark, topic, group, schema, **given)
     except Exception:
         if format or name == "memory":
             raise

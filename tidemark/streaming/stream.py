@@ -33,7 +33,7 @@ from tidemark.operators.delivery import MAX_RETRIES, dead_letters
 from tidemark.operators.validation import GENERIC, validate_split
 from tidemark.settings import Settings
 from tidemark.sources.backends import Backend, open_topic
-from tidemark.storage import children, write_once
+from tidemark.storage import children, shared_dir, write_once
 from tidemark.streaming.late import LateSplitter
 from tidemark.workers import importable
 
@@ -94,7 +94,7 @@ class Stream:
         settings = settings or Settings.load()
         set_up_logging(settings.log_format)
         backend = open_topic(spark, topic, group, None if settings == Settings.load() else settings.backend, schema, **settings.options(settings.backend))
-        return cls(spark, backend, settings.checkpoints, settings.max_retries)
+        return cls(spark, backend, settings.checkpoints or f"{shared_dir(spark)}/checkpoints", settings.max_retries)
 
     def emit(self, rows: DataFrame, topic: str | None = None, trace: bool = False) -> None:
         """Append rows to a topic; a missing event type becomes GenericEvent. With ``trace`` they carry a trace context, which goes on from the one that they have."""
