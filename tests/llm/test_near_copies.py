@@ -1,7 +1,9 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import near_copies
@@ -84,3 +86,24 @@ def test_every_key_is_compared_to_the_end(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
     kept = sorted(x.doc_id for x in near_copies.keep_one(docs).collect())
     assert kept == sorted(set(brute_groups(texts).values())) and 6 <= len(kept) < len(texts)
+
+
+def test_keys_are_in_order_of_exact_counts(spark, monkeypatch):
+    """Keys are the rarest shingles by their own counts in the whole corpus, over many ranges and blocks."""
+    monkeypatch.setattr(near_copies, "RANGE", 200)
+    texts = {i: t for i, t in enumerate(dict.fromkeys((t or "").lower() for t in make().values())) if t}
+    sets = {i: near_copies.shingles(t.encode()) for i, t in texts.items()}
+    found = Counter(h for x in sets.values() for h in x.tolist())
+    rows = spark.createDataFrame([(i * 300, t.encode(), len(sets[i])) for i, t in texts.items()], "uid long, text binary, n int")
+    keys = near_copies.keys(rows.select("uid", F.col("n").cast("long")), rows.select("uid", "text")).collect()
+    expected = set()
+    for i, x in sets.items():
+        order = sorted(x.tolist(), key=lambda h: (found[h], h))
+        most = len(order) - math.ceil(0.8 * len(order) - 1e-6) + 1
+        expected |= {(i * 300, len(order), at, h >> 16) for at, h in enumerate(order[:most]) if found[h] > 1}
+    assert len(keys) == len(expected) > 100 and {tuple(k) for k in keys} == expected
+
+
+def test_packed_numbers_come_back():
+    for values in ([], [0], [255, 256, 0], [1 << 47, 3, 3]):
+        assert near_copies.unpack(near_copies.pack(np.array(values, np.int64))).tolist() == values
