@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import near_copies
+from tidemark.llm import common, near_copies
 
 
 def shingle_set(text):
@@ -107,3 +107,16 @@ def test_keys_are_in_order_of_exact_counts(spark, monkeypatch):
 def test_packed_numbers_come_back():
     for values in ([], [0], [255, 256, 0], [1 << 47, 3, 3]):
         assert near_copies.unpack(near_copies.pack(np.array(values, np.int64))).tolist() == values
+
+
+def test_texts_go_through_no_shuffle(spark, monkeypatch):
+    """However many documents stay, they are chosen by a broadcast bitmap."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    docs = spark.createDataFrame([(i, f"w{i % 40} two", "c") for i in range(60)], "doc_id long, text string, __x string")
+    kept = near_copies.keep_one(docs)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert sorted(x.doc_id for x in kept.collect()) == list(range(40))
+    rows = spark.range(0, 300_000, 7).select(F.col("id").alias("uid"), F.lit("x").alias("text"))
+    wanted = spark.range(0, 300_000, 5).unionByName(spark.createDataFrame([(1 << 40,)], "id long"))
+    assert sorted(x.uid for x in near_copies.chosen(rows, wanted).collect()) == list(range(0, 300_000, 35))
