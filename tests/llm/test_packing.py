@@ -79,6 +79,26 @@ def test_exchange_between_partitions(spark, seed):
     assert bound <= len(fill) < alone
 
 
+def test_rounds_join_partitions_not_pieces(spark, monkeypatch):
+    """No table of pieces that a round writes comes from a join, so rounds don't multiply the rows that joins make."""
+    r, plans, write = random.Random(4), {}, packing.materialize
+
+    def watched(df, name, **options):
+        if "uid" in df.columns:
+            plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, name, **options)
+
+    pieces = spark.createDataFrame([(i, i, 0, 0, r.randint(3, 9), 0) for i in range(600)], packing.PIECES)
+    pieces = write(pieces, "t")
+    monkeypatch.setattr(packing, "materialize", watched)
+    rows = packing.pack(pieces, 20, per_partition=20).collect()
+    assert any(name.startswith("packed-all") for name in plans) and not any("Join" in plan for plan in plans.values())
+    bins = {}
+    for x in rows:
+        bins.setdefault(x.partition, set()).add(x.sequence_id)
+    assert len(rows) == 600 and all(len(bins[x.partition]) == x.bins >= x.bound for x in rows)
+
+
 def test_ids_equal_those_of_the_tokenizer():
     exact = Tokenizer.from_file(packing.TOKENIZER)
     texts = ["", "Hello  world's\n\n x1234", "é" * 50 + " ß  x", "日本語 emoji 😀", "<|endoftext|> a", " " * 3000 + "b", "a" * 5000, "'S don't \t\r\n  end ", "́x​ y　z", "“quoted” — …"]
