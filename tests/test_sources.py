@@ -269,6 +269,19 @@ def test_log_watermarks_after_an_append_that_was_cut_short(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(partition" in plan and "GreaterThanOrEqual(offset,3)" in plan
 
 
+def test_small_segments_are_one_file_each(spark, tmp_path):
+    """Of a segment the log makes its own file only: one of checksums beside it would double the files, and each started a process."""
+    from tidemark.sources.commit_log import CommitLog
+
+    log = CommitLog(spark, str(tmp_path / "log"), 2, segment_rows=5)
+    for start in (0, 100):
+        log.append(spark.range(start, start + 100), F.col("id"), ["id"])
+    assert not list((tmp_path / "log").rglob("*.crc"))
+    files = log.read().groupBy("partition", F.input_file_name().alias("file")).agg(F.count("*").alias("n"), (F.max("offset") - F.min("offset") + 1).alias("span")).collect()
+    assert len(files) == len(list((tmp_path / "log").rglob("*.parquet"))) >= 40
+    assert all(r.n == r.span <= 5 for r in files) and sum(r.n for r in files) == 200
+
+
 def test_a_replay_that_was_cut_short_is_finished(spark, tmp_path):
     from tidemark import cli
 

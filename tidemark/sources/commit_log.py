@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.keys import partition_of
 from tidemark.plans.prefix import dense_numbers
-from tidemark.storage import children, drop_tables, exists, materialize
+from tidemark.storage import SMALL_FILES, children, drop_tables, exists, materialize
 
 PARTITIONS = 4
 #: Rows of a file, the log's segment, at most.
@@ -103,7 +103,7 @@ class CommitLog:
         # Ranges of (partition, offset), so that as many tasks write as there are, and a file holds a range of offsets.
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         ranged = rows.repartitionByRange(n, "partition", "offset").sortWithinPartitions("partition", "offset")
-        ranged.write.mode("append").option("maxRecordsPerFile", self.segment_rows).partitionBy("partition").parquet(self.path)
+        ranged.write.mode("append").options(**SMALL_FILES).option("maxRecordsPerFile", self.segment_rows).partitionBy("partition").parquet(self.path)
         ends = start.unionByName(high_watermark(rows)).groupBy("partition").agg(F.max("high_watermark").alias("high_watermark"))
         old = [n for n in children(self.spark, self._marks) if n.startswith("version=")]
         version = 1 + max((int(n.partition("=")[2]) for n in old), default=0)

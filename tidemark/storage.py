@@ -14,6 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows of a file of a narrow table.
 FILE_ROWS = 100_000
 
+#: Options to write many small files with. On a local or mounted folder, Hadoop's checksummed file system makes two files of
+#: each, and starts a process (chmod, where its native library is missing) for both, which takes longer than writing them; this
+#: one makes one. Parquet's pages have checksums of their own. Other stores have other schemes and aren't touched.
+SMALL_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
 _LISTED: ContextVar[list[str] | None] = ContextVar("tables", default=None)
 
 
