@@ -1,6 +1,6 @@
 """Queries that run as streams: the same results as their batch forms, micro-batch by micro-batch.
 
-A table becomes a stream of ``CHUNKS`` files in order of arrival, one a micro-batch; each query works through them and returns
+A table becomes a stream of ``CHUNKS`` chunks in order of arrival, one a micro-batch; each query works through them and returns
 the table that it wrote.
 """
 
@@ -18,7 +18,7 @@ from tidemark.operators.sinks import first_writes
 from tidemark.queries import _DUPLICATES, _E, _WM, DAY, HOUR, WRITES_WITH_TTL, duplicates, events
 from tidemark.sources.backends import FileBackend, LogBackend, open_topic, register_backend
 from tidemark.sources.commit_log import CommitLog
-from tidemark.storage import new_path
+from tidemark.storage import children, new_path
 from tidemark.streaming.late import LateSplitter
 from tidemark.streaming.monitor import Monitor
 from tidemark.streaming.sinks import IdempotentTable
@@ -26,17 +26,27 @@ from tidemark.streaming.stateful import keyed_fold
 from tidemark.streaming.stream import Stream
 
 CHUNKS = 3
+#: Rows of a file of a chunk, about; a task writes each.
+CHUNK_FILE_ROWS = 500_000
 
 
 def as_stream(spark: SparkSession, rows: DataFrame, order: str, name: str) -> DataFrame:
-    """Rows as files in order, read one a micro-batch."""
+    """Rows as files in order, a chunk read in each micro-batch.
+
+    A micro-batch takes a number of files, the oldest first, so all chunks have as many: those that the largest one fills.
+    """
     path = new_path(spark, name)
     low, high = rows.agg(F.min(order), F.max(order)).first()
     step = ((high or 0) - (low or 0)) // CHUNKS + 1
+    chunk = F.floor((F.col(order) - (low or 0)) / step)
+    files = max((r["count"] for r in rows.groupBy(chunk.alias("chunk")).count().collect()), default=0) // CHUNK_FILE_ROWS + 1
     for i in range(CHUNKS):
-        part = rows.where(F.floor((F.col(order) - (low or 0)) / step) == i)
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part = rows.where(chunk == i)
+        (part.coalesce(1) if files == 1 else part.repartition(files)).write.mode("append").parquet(path)
+        # Tasks without rows make no files; empty ones stand in, so that the next chunk's don't.
+        while sum(x.endswith(".parquet") for x in children(spark, path)) < files * (i + 1):
+            part.limit(0).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def arrived(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +91,7 @@ def dedup_ttl_stream(spark, d):
 @query("stateful_stream", f"WITH e AS ({_E}) SELECT user_id, list_reduce(list_prepend(7::BIGINT, list(cents ORDER BY arr, event_id)), lambda s, x: (s * 31 + x) % 1000003) AS state, count(*) AS n FROM e GROUP BY 1")
 def stateful_stream(spark, d):
     path = new_path(spark, "state-out")
-    source = as_stream(spark, arrived(spark, d), "arr", "state-in")
+    source = as_stream(spark, arrived(spark, d).select("user_id", "arr", "seq", "cents"), "arr", "state-in").drop("arr")
     folded = keyed_fold(source, "user_id", "seq", "state long, n long", (7, 0), lambda s, r: ((s[0] * 31 + r.cents) % 1000003, s[1] + 1))
 
     def write(batch: DataFrame, batch_id: int) -> None:
